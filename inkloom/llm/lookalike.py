@@ -135,11 +135,12 @@ class Lookalikes:
             uf.union(a, b)
         self.keep_breaks = keep_breaks
         self.members = uf.classes()
-        plain = {p[0] for p in pairs if p not in (TWO_APOSTROPHES, ELLIPSIS)} | {'"', "...", " ", "\n"} | {b for a, b in (x.strip().split(": ") for x in LIGATURES.split(";"))}
+        parts = dict(x.strip().split(": ") for x in LIGATURES.split(";"))
+        plain = {p[0] for p in pairs if p != ELLIPSIS and p != TWO_APOSTROPHES and p[0] not in parts} | {'"', "..."} | {*parts.values()}
 
         def best(members: list[str]) -> str:
             # "" stands for all that cannot be seen; blanks and breaks are never written longer than needed
-            fixed = next((x for x in ("", "\n", " ") if x in members), None)
+            fixed = next((x for x in ("", "\n" if keep_breaks else " ", " ") if x in members), None)
             if fixed is not None:
                 return fixed
             return min(members, key=lambda x: (-counts.get(x, 0), x not in plain, any(unicodedata.normalize("NFKD", c) != c for c in x), len(x), x))
