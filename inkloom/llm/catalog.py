@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import lookalike, mixing, packing
+from inkloom.llm import consensus, leaks, lookalike, mixing, packing
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -30,6 +30,18 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.with_form(spark, lines.unionByName(pages), classes, "text").drop("text")
 
 
+def p3_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(spark, table(spark, d, "train_batches"), table(spark, d, "gold_lines"), lookalike.standard(keep_breaks=False))
+
+
+def gold_consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return consensus.consensus(spark, table(spark, d, "gold_lines"), lookalike.standard(keep_breaks=False))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return gold_consensus(spark, d)[0].where("stored <> '' and rival is not null").select("line_id")
+
+
 def p5_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "container_specs"))
 
@@ -50,6 +62,11 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_forms": p1_forms,
+    "p3_found": lambda s, d: p3_spans(s, d).select("batch_id", "text_no", "line_id"),
+    "p3_spans": p3_spans,
+    "p4_found": p4_found,
+    "p4_lines": lambda s, d: gold_consensus(s, d)[0],
+    "p4_readers": lambda s, d: gold_consensus(s, d)[1],
     "p5_containers": p5_containers,
     "p5_fill": p5_fill,
     "p6_mixture": p6_mixture,
