@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import consensus, leaks, lookalike, mixing, packing
+from inkloom.llm import consensus, leaks, lookalike, mixing, packing, pii
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(sized, mixing.mix(sized, targets), targets)
 
 
+def learned(spark: SparkSession, d: str) -> tuple[pii.Known, pii.Folding]:
+    return pii.learn(spark, table(spark, d, "documents"), table(spark, d, "known_names"), lookalike.standard(keep_breaks=False))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_forms": p1_forms,
@@ -71,6 +75,8 @@ QUERIES = {
     "p5_fill": p5_fill,
     "p6_mixture": p6_mixture,
     "p6_shares": p6_shares,
+    "p7_found": lambda s, d: pii.identifiers(table(s, d, "documents"), *learned(s, d)).drop("end_pos"),
+    "p7_redacted": lambda s, d: pii.redacted(table(s, d, "documents"), *learned(s, d)),
 }
 
 SQL: dict[str, str] = {}
