@@ -160,7 +160,14 @@ class Lookalikes:
                 break
             rules = new
         self.rules = rules
-        self._automaton: ahocorasick.Automaton | None = None
+        self._start()
+
+    def _start(self) -> None:
+        """The state of one process: the automaton holds the patterns of the characters met so far."""
+        self._single = {x for x in self.rules if len(x) == 1}
+        self._multi = [x for x in self.rules if len(x) > 1]
+        self._met: set[str] = set()
+        self._automaton = ahocorasick.Automaton()
 
     @classmethod
     def strings(cls) -> list[str]:
@@ -168,28 +175,44 @@ class Lookalikes:
         return sorted({x for p in fixed_pairs() for x in p if len(x) > 1})
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_automaton": None}
-
-    @property
-    def automaton(self) -> ahocorasick.Automaton:
-        if self._automaton is None:
-            a = ahocorasick.Automaton()
-            for x, r in self.rules.items():
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._start()
+
+    def _meet(self, characters: set[str]) -> None:
+        """Adds the patterns of further characters, and of those they are rewritten to. The cost of a step of the automaton
+        grows with the patterns at its root, so it isn't filled with all of Unicode."""
+        while characters := characters - self._met:
+            self._met |= characters
+            characters = {c for x in characters for c in self.rules.get(x, "")}
+        a = ahocorasick.Automaton()
+        for x, r in self.rules.items():
+            if self._met.issuperset(x):
                 a.add_word(x, (len(x), r))
-            a.make_automaton()
-            self._automaton = a
-        return self._automaton
+        a.make_automaton()
+        self._automaton = a
 
     def rewrite(self, text: str) -> str:
         """One form of the text: greedy rewriting to the end, marks in canonical order, no blanks at the ends."""
+        characters = set(text)
+        if self._single.isdisjoint(characters) and not any(x in text for x in self._multi):
+            return self._end(text)
+        if not characters <= self._met:
+            self._meet(characters)
         for _ in range(64):
             parts, at = [], 0
-            for end, (n, r) in self.automaton.iter_long(text):
+            for end, (n, r) in self._automaton.iter_long(text):
                 parts += (text[at : end - n + 1], r)
                 at = end + 1
             if not parts:
                 break
             text = "".join(parts) + text[at:]
+        return self._end(text)
+
+    @staticmethod
+    def _end(text: str) -> str:
         text = text.strip(" \n")
         return text if text.isascii() else unicodedata.normalize("NFD", text)
 
