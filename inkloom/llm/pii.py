@@ -54,6 +54,10 @@ PLAIN = re.compile(r"[\n -~א-ת]*")
 EMAIL = re.compile(r"[a-z0-9][a-z0-9._+\-]*(?: ?@ ?| ?[\[({] ?at ?[\])}] ?| שטרודל | כרוכית | at (?=[a-z0-9\-]+ (?:dot|\[dot\]) ))[a-z0-9\-]+(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot | נקודה )[a-z0-9\-]+)+")
 PHONE = re.compile(r"(?<![0-9a-z+])(?<!\d[-./])(?:(?:(?:\+972|00972)[-. ]?\(?0?\)?|\(?0)(?:[57]\d|[23489])\)?(?:[-. ]?\d){7}|(?:(?:\+|00)44[-. ]?|\(?0)7\d{3}\)?[-. ]?\d{3}[-. ]?\d{3}|(?:\+1[-. ])?\(?[2-9]\d{2}\)?[-. ]\d{3}[-. ]\d{4})(?![-.]?\d)")
 NINE = re.compile(r"(?<!\d)(?<!\d[-./])(?=((?:\d[ -]?){8}\d|\d(?:\.?\d){8})(?![-./]?\d))")
+#: Where numbers of eight characters or more can be; the patterns above are tried only there.
+ZONE = re.compile(r"[+(\d][\d()+. \-]{7,}")
+MAILBOX = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._+-")
+AT = re.compile(r"@|[\[({] ?at ?[\])}]| at (?=[a-z0-9\-]+ (?:dot|\[dot\]) )|שטרודל|כרוכית")
 ADDRESS = re.compile(r"(?<![א-ת'])(?:[ולמבשכה]{0,2})(" + "|".join(STREET_WORDS) + r") ([א-ת]{2,}(?: [א-ת]{2,}){0,2}) (?:מס' )?(\d{1,4})(?!\d)(/\d+)?")
 REST = re.compile(r"(?: דירה \d+)?(?:, ?כניסה [א-ת]'?)?(?:, ?קומה [א-ת\d]+)?")
 TOWN = re.compile(r", ?([א-ת]{2,}(?:[ -][א-ת]{2,}){0,2})")
@@ -83,6 +87,11 @@ def fold(folding: Folding, text: str) -> tuple[str, list[int] | None]:
     return "".join(parts), [i for i, p in enumerate(parts) for _ in p]
 
 
+def folded(folding: Folding, text: str) -> str:
+    """The folded text alone."""
+    return text if PLAIN.fullmatch(text) else text.translate(folding)
+
+
 def lowered(text: str) -> str:
     low = text.lower()
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -180,9 +189,11 @@ def scan(texts: DataFrame, folding: Folding, known: Known, first: bool) -> DataF
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folding, known = shared.value
-        anchors, total = known.anchors(), Counter()
+        anchors, total, words = known.anchors(), Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
+            total.update({("word", t, "", "", ""): k for t, k in words.items() if is_word(t)})
+            words.clear()
             columns = list(zip(*total, strict=True)) or [[]] * 5
             batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(list(total.values()), pa.int64())], names=["kind", "word", "partner", "l", "r", "n"])
             total.clear()
@@ -190,29 +201,26 @@ def scan(texts: DataFrame, folding: Folding, known: Known, first: bool) -> DataF
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                low = lowered(text if PLAIN.fullmatch(text) else text.translate(folding))
+                plain = folded(folding, text)
+                low = lowered(plain)
                 tokens = TOKEN.findall(low)
                 windows(tokens, known, anchors, total)
                 if first:
-                    for t, k in Counter(tokens).items():
-                        if is_word(t):
-                            total["word", t, "", "", ""] += k
+                    words.update(tokens)
                     for line in low.split("\n"):
                         if len(line) < 80:
                             for template, filler in templates(line):
                                 total["line", filler, template, "", ""] += 1
-                    for m in ADDRESS.finditer(low):
+                    for m in ADDRESS.finditer(low) if any(w in low for w in STREET_WORDS) else ():
                         rest = REST.match(low, m.end())
                         town = TOWN.match(low, rest.end())
                         total["street", m[2], m[3], "", ""] += 1
                         if town:
                             count_town(total, town[1], m[2])
-                    if any(c in low for c in "0123456789"):
-                        english = text.translate(folding)
-                        for m in ENGLISH.finditer(english):
-                            if town := ENGLISH_TOWN.match(english, m.end()):
-                                count_town(total, town[1].lower(), m[0].lower())
-            if len(total) > 200_000:
+                    for m in ENGLISH.finditer(plain) if plain != low else ():
+                        if town := ENGLISH_TOWN.match(plain, m.end()):
+                            count_town(total, town[1].lower(), m[0].lower())
+            if len(total) + len(words) > 200_000:
                 yield flush()
         yield flush()
 
@@ -286,6 +294,7 @@ class Finder:
 
     def __init__(self, known: Known) -> None:
         self.known, self.anchors = known, known.anchors()
+        self.families = Known(family=known.family).anchors()
         streets = "|".join(map(re.escape, sorted(known.streets, key=lambda x: (-len(x), x))))
         self.bare = re.compile(rf"(?<![א-ת'])({streets}) (?:מס' )?\d{{1,4}}(?!\d)(?:/\d+)?") if streets else None
         self.word = re.compile(r"[^\W\d_]+")
@@ -300,43 +309,59 @@ class Finder:
         return -1
 
     def addresses(self, text: str, low: str) -> Iterator[tuple[str, int, int]]:
-        for m in ADDRESS.finditer(low):
+        for m in ADDRESS.finditer(low) if any(w in low for w in STREET_WORDS) else ():
             # One word after a street word names a street; more words only if that name was learned.
             if " " in m[2] and m[2] not in self.known.streets or m[1] == "דרך" and m[2] not in self.known.streets:
                 continue
             end = REST.match(low, m.end()).end()
             yield "address", m.start(1), max(end, self.town(low, end))
-        if self.bare:
+        if self.bare and any(t in low for t in self.known.towns):
             for m in self.bare.finditer(low):
                 end = REST.match(low, m.end()).end()
                 if (far := self.town(low, end)) > 0:
                     yield "address", m.start(), far
-        for m in ENGLISH.finditer(text):
+        for m in ENGLISH.finditer(text) if text != low else ():
             yield "address", m.start(), max(m.end(), self.town(low, m.end(), ENGLISH_TOWN, text))
 
+    def emails(self, low: str) -> Iterator[tuple[str, int, int]]:
+        """From every sign for "at" back to the beginning of the mailbox name."""
+        for m in AT.finditer(low):
+            at = m.start()
+            while at and low[at - 1] == " ":
+                at -= 1
+            while at and low[at - 1] in MAILBOX:
+                at -= 1
+            while at < m.start() and not low[at].isalnum():
+                at += 1
+            if found := EMAIL.match(low, at):
+                yield "email", at, found.end()
+
     def numbers(self, low: str) -> Iterator[tuple[str, int, int]]:
-        for m in PHONE.finditer(low):
-            yield "phone", m.start(), m.end()
-        for m in NINE.finditer(low):
-            digits = re.sub(r"\D", "", m[1])
-            if check_digit(digits):
-                yield "idnum", m.start(1), m.end(1)
+        zones = [(z.start(), min(z.end() + 2, len(low))) for z in ZONE.finditer(low)]
+        for a, b in zones:
+            for m in PHONE.finditer(low, a, b):
+                yield "phone", m.start(), m.end()
+        for a, b in zones:
+            for m in NINE.finditer(low, a, b):
+                if check_digit(re.sub(r"\D", "", m[1])):
+                    yield "idnum", m.start(1), m.end(1)
 
     def names(self, text: str, low: str) -> Iterator[tuple[str, int, int]]:
         given, family, anchors = self.known.given, self.known.family, self.anchors
         base = 0
         for line in low.split("\n"):
+            # But for the lone names of short lines every name has a family name in it.
             words = self.word.findall(line)
-            if not anchors.isdisjoint(words):
+            if not self.families.isdisjoint(words):
                 spans = [(m.group(), base + m.start(), base + m.end()) for m in self.word.finditer(line)]
                 yield from self.in_line(low, text, spans, given, family, anchors)
-                if len(line) < 80:
-                    for template, filler in templates(line):
-                        if filler in given and template in self.known.templates:
-                            at = base + line.find(filler)
-                            if (template.startswith("ל_") or " ל_" in template) and line.find("ל" + filler) >= 0:
-                                at = base + line.find("ל" + filler) + 1
-                            yield "name", at, at + len(filler)
+            if len(line) < 80 and not anchors.isdisjoint(words):
+                for template, filler in templates(line):
+                    if filler in given and template in self.known.templates:
+                        at = base + line.find(filler)
+                        if "ל_" in template and line.find("ל" + filler) >= 0:
+                            at = base + line.find("ל" + filler) + 1
+                        yield "name", at, at + len(filler)
             base += len(line) + 1
 
     def in_line(self, low: str, text: str, spans: list, given: set[str], family: set[str], anchors: set[str]) -> Iterator[tuple[str, int, int]]:
@@ -387,15 +412,13 @@ class Finder:
 
         def take(items: Iterator[tuple[str, int, int]]) -> None:
             for kind, a, b in items:
-                if not any(taken[a:b]):
+                if taken.find(1, a, b) < 0:
                     taken[a:b] = b"\1" * (b - a)
                     found.append((kind, a, b))
 
-        if "@" in low or "at" in low or "שטרודל" in low or "כרוכית" in low:
-            take(("email", m.start(), m.end()) for m in EMAIL.finditer(low))
-        if any(c in low for c in "0123456789"):
-            take(self.numbers(low))
-            take(self.addresses(text, low))
+        take(self.emails(low))
+        take(self.numbers(low))
+        take(self.addresses(text, low))
         take(self.names(text, low))
         return sorted(found, key=lambda x: x[1])
 
@@ -412,8 +435,9 @@ def _runner(documents: DataFrame, known: Known, folding: Folding, redact: bool)
             for r, text in enumerate(b.column(1).to_pylist()):
                 parts, last = [], 0
                 if text:
-                    folded, places = fold(folding, text)
-                    for k, x, y in finder.find(folded):
+                    found = finder.find(folded(folding, text))
+                    places = fold(folding, text)[1] if found else None
+                    for k, x, y in found:
                         x, y = (x, y) if places is None else (places[x], places[y - 1] + 1)
                         if redact:
                             parts += (text[last:x], PLACEHOLDERS[k])
