@@ -144,7 +144,7 @@ def windows(tokens: list[str], known: Known, anchors: set[str], out: Counter) ->
             if left_given >= 0:
                 out["pos", left[left_given:], name, boundary(tokens, i - 2) if not left_given else left[:left_given] + "_", boundary(tokens, i + 1)] += 1
             elif right_given:
-                out["pos", right, name, boundary(tokens, i - 1), boundary(tokens, i + 2)] += 1
+                out["pos", right, name, boundary(tokens, i - 1) if not f else t[:f] + "_", boundary(tokens, i + 2)] += 1
             elif left not in "-'." or left == "\n":
                 if f == 0 and is_word(left):
                     out["given", left, name, boundary(tokens, i - 2), boundary(tokens, i + 1)] += 1
@@ -270,8 +270,12 @@ def learn(spark: SparkSession, documents: DataFrame, names: DataFrame, classes:
             known.towns = {t for t in count if t not in longer and (parent[t] not in count or count[t] >= 0.5 * count[parent[t]])}
         before = spark.createDataFrame([(w,) for w in sorted(known.given | known.family)], "word string")
         new = bounded(score(found, words, before))
-        for r in new:
-            getattr(known, r.role).add(r.word)
+        role = {r.word: r.role for r in new}
+        names = known.given | known.family | role.keys()
+        for word in role:
+            # A name written together with a prefix isn't another name.
+            if not any(word[k:] in names and all(c in PREFIXES for c in word[:k]) for k in (1, 2)):
+                getattr(known, role[word]).add(word)
         if not new:
             break
     given = spark.createDataFrame([(w, 1) for w in sorted(known.given)], "word string, known int")
