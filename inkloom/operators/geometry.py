@@ -23,7 +23,8 @@ def overlap(g: str, d: str) -> Column:
     wide = F.least(c(f"{g}.x") + c(f"{g}.w"), c(f"{d}.x") + c(f"{d}.w")) - F.greatest(c(f"{g}.x"), c(f"{d}.x"))
     high = F.least(c(f"{g}.y") + c(f"{g}.h"), c(f"{d}.y") + c(f"{d}.h")) - F.greatest(c(f"{g}.y"), c(f"{d}.y"))
     area = c(f"{g}.w") * c(f"{g}.h")
-    return F.when((wide > 0) & (high > 0) & (area > 0), wide * high / area).otherwise(0.0)
+    # least and greatest skip nulls, so a missing box is asked for
+    return F.when(c(d).isNotNull() & (wide > 0) & (high > 0) & (area > 0), wide * high / area).otherwise(0.0)
 
 
 def recall(gold: DataFrame, found: DataFrame, page: str, key: str, least: float = 0.5) -> DataFrame:
