@@ -1,6 +1,6 @@
 """Character sets as tables ``(idx INT, ch STRING)``; index 0 is the blank of CTC and has the empty string.
 
-Joins on ``ch`` stay within whole-stage code; for encoding, the set goes along as one map literal, whose size
+Joins on ``ch`` stay within whole-stage code; for encoding, the set goes along as literals, whose size
 is bounded by the alphabet. Null texts count as empty; characters outside the set are dropped.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # The characters of the standard set, in order.
 STANDARD = "אבגדהוזחטיךכלםמןנסעףפץצקרשת0123456789 .,;:!?'\"-()[]/|*+=%&@#ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-MOST = 70_000  # characters that an encoding map may have
+MOST = 65_000  # characters that a set may have for encoding
 
 
 def characters(texts: DataFrame, column: str) -> DataFrame:
@@ -42,25 +42,34 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("ch").intersect(b.select("ch"))
 
 
-def as_map(charset: DataFrame) -> Column:
-    rows = charset.where("ch <> ''").orderBy("idx").limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError("a character set can't have more characters than Unicode")
-    return F.create_map(*(F.lit(x) for r in rows for x in (r.ch, r.idx))) if rows else F.create_map().cast("map<string,int>")
+class Codec:
+    """Texts to indices and back by one character set, as expressions.
 
+    Encoding is one ``translate`` of known characters to code points from U+F0000 on, whose
+    number is the index; it looks characters up by hash where a map column would search.
+    """
 
-def encode(text: Column, table: Column) -> Column:
-    """The indices of a text's characters."""
-    return F.filter(F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), lambda c: F.try_element_at(table, c)), lambda i: i.isNotNull())
+    FIRST = 0xF0000
 
+    def __init__(self, charset: DataFrame) -> None:
+        rows = charset.where("ch <> '' and idx > 0").orderBy("idx").limit(MOST + 1).collect()
+        if len(rows) > MOST:
+            raise ValueError("a character set can't have so many characters")
+        self.chars = {r.idx: r.ch for r in rows}
 
-def decode(codes: Column, table: Column) -> Column:
-    """The text of indices; the blank and unknown indices give nothing."""
-    back = F.map_from_entries(F.transform(F.map_entries(table), lambda e: F.struct(e["value"], e["key"])))
-    return F.array_join(F.transform(codes, lambda i: F.coalesce(F.try_element_at(back, i), F.lit(""))), "")
+    def encode(self, text: Column) -> Column:
+        """The indices of a text's characters; unknown ones are dropped."""
+        to = "".join(chr(self.FIRST + i) for i in self.chars)
+        coded = F.translate(F.coalesce(text, F.lit("")), "".join(self.chars.values()), to)
+        return F.transform(F.filter(F.split(coded, ""), lambda c: c >= chr(self.FIRST)), lambda c: F.ascii(c) - self.FIRST)
 
+    def decode(self, codes: Column) -> Column:
+        """The text of indices; the blank and unknown indices give nothing."""
+        table = F.array(*(F.lit(self.chars.get(i, "")) for i in range(max(self.chars, default=0) + 1)))
+        return F.array_join(F.transform(codes, lambda i: F.coalesce(F.get(table, i), F.lit(""))), "")
 
-def known_part(text: Column, table: Column) -> Column:
-    """The part of a text's characters that the set has; 1 for an empty text."""
-    n = F.length(text)
-    return F.when(n > 0, F.size(encode(text, table)) / n).otherwise(1.0)
+    @staticmethod
+    def known_part(text: Column, codes: Column) -> Column:
+        """The part of a text's characters that its indices stand for; 1 for an empty text."""
+        n = F.length(text)
+        return F.when(n > 0, F.size(codes) / n).otherwise(1.0)

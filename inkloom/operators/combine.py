@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 
 def align(pivot: str, other: str) -> tuple[list[str], list[str]]:
     """What the other has at each character of the pivot ('' if nothing), and what it inserts before each and at the end."""
+    # Equal ends and beginnings are kept by any shortest alignment of this order; only what is between is aligned.
+    tail = 0
+    while tail < min(len(pivot), len(other)) and pivot[-1 - tail] == other[-1 - tail]:
+        tail += 1
+    if tail:
+        at, inserts = align(pivot[: len(pivot) - tail], other[: len(other) - tail])
+        return at + list(pivot[len(pivot) - tail :]), inserts + [""] * tail
+    if pivot and other and pivot[0] == other[0]:
+        head = next((k for k, (x, y) in enumerate(zip(pivot, other, strict=False)) if x != y), min(len(pivot), len(other)))
+        at, inserts = align(pivot[head:], other[head:])
+        return list(pivot[:head]) + at, [""] * head + inserts
     n, m = len(pivot), len(other)
     cost = [list(range(m + 1))]
     for i in range(1, n + 1):

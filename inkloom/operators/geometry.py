@@ -30,10 +30,12 @@ def overlap(g: str, d: str) -> Column:
 def recall(gold: DataFrame, found: DataFrame, page: str, key: str, least: float = 0.5) -> DataFrame:
     """``(page, n_gold, n_hit)`` of each page and of all (page null): gold boxes of which one found box covers at least a part.
 
-    Pages are joined by key; of each gold box only its best cover is kept, in one aggregate.
+    Pages are joined by key and only boxes that meet are paired; of each gold box its best cover is kept, in one aggregate.
     """
     box = F.struct("x", "y", "w", "h")
-    pairs = gold.select(page, key, box.alias("g")).join(found.select(page, box.alias("d")), page, "left")
+    g, d = gold.select(page, key, box.alias("g")), found.select(F.col(page).alias("_page"), box.alias("d"))
+    meet = [F.col(f"{a}.{c}") < F.col(f"{b}.{c}") + F.col(f"{b}.{n}") for c, n in (("x", "w"), ("y", "h")) for a, b in (("g", "d"), ("d", "g"))]
+    pairs = g.join(d, [F.col(page) == F.col("_page"), *meet], "left")
     best = pairs.groupBy(page, key).agg(F.max(F.coalesce(overlap("g", "d"), F.lit(0.0))).alias("part"))
     return best.rollup(page).agg(F.count(F.lit(1)).alias("n_gold"), F.count_if(F.col("part") >= least).alias("n_hit"))
 

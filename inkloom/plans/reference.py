@@ -223,9 +223,10 @@ ENCODED = f"with {GOLD}, {CHARS}, {SET}, each as (select line_id, t, unnest(rege
 
 @query("q_charset_encode", f"{ENCODED} select g.line_id, coalesce(codes, '') as codes, coalesce(decoded, '') as decoded, round(case when length({text.sql_normalize('g.text')}) = 0 then 1e0 else coalesce(k, 0)::double / length({text.sql_normalize('g.text')}) end, 6) as known_part from gold g left join coded using (line_id)")
 def q_charset_encode(s, d):
-    table = charset.as_map(built(s, d))
-    coded = normal_gold(s, d).withColumn("codes", charset.encode(F.col("t"), table))
-    return coded.select("line_id", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"), charset.decode(F.col("codes"), table).alias("decoded"), F.round(charset.known_part(F.col("t"), table), 6).alias("known_part"))
+    codec = charset.Codec(built(s, d))
+    coded = normal_gold(s, d).withColumn("codes", codec.encode(F.col("t")))
+    codes = F.col("codes")
+    return coded.select("line_id", F.array_join(F.transform(codes, lambda c: c.cast("string")), ",").alias("codes"), codec.decode(codes).alias("decoded"), F.round(codec.known_part(F.col("t"), codes), 6).alias("known_part"))
 
 
 # ---- language models --------------------------------------------------------------------------------------------------

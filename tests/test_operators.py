@@ -18,9 +18,9 @@ def test_charset(spark):
     assert sorted(map(tuple, built.collect())) == [(0, ""), (1, "א")]
     more = charset.extend(built, spark.createDataFrame([("גבב",)], "t string"), "t")
     assert sorted(map(tuple, more.collect())) == [(0, ""), (1, "א"), (2, "ב"), (3, "ג")]
-    table = charset.as_map(more)
-    df = spark.createDataFrame([("אבxג",), ("",), (None,)], "t string").withColumn("codes", charset.encode(F.col("t"), table))
-    rows = df.select("codes", charset.decode(F.col("codes"), table).alias("d"), charset.known_part(F.col("t"), table).alias("k")).collect()
+    codec = charset.Codec(more)
+    df = spark.createDataFrame([("אבxג",), ("",), (None,)], "t string").withColumn("codes", codec.encode(F.col("t")))
+    rows = df.select("codes", codec.decode(F.col("codes")).alias("d"), codec.known_part(F.col("t"), F.col("codes")).alias("k")).collect()
     assert [(r.codes, r.d, r.k) for r in rows] == [([1, 2, 3], "אבג", 0.75), ([], "", 1.0), ([], "", 1.0)]
     assert [r.ch for r in charset.intersect(built.where("idx > 0"), more).collect()] == ["א"]
     assert len(set(charset.STANDARD)) == len(charset.STANDARD)
