@@ -582,9 +582,9 @@ def q_stalls(s, d):
     return runlog.stalls(load(s, d, "events"), "user_id", "ts", 86_400)
 
 
-@query("q_ema", f"with {RUNS}, s as (select arm, list(score order by epoch) as v from runs group by arm) select arm, round(list_reduce(list_transform(range(1, len(v)), lambda n: struct_pack(n := n::double, e := v[n + 1])), lambda a, x: struct_pack(n := x.n, e := a.e + (1 - least(0.9e0, (1 + x.n) / (10 + x.n))) * (x.e - a.e)), struct_pack(n := 0e0, e := v[1])).e, 6) as ema from s")
+@query("q_ema", f"with {RUNS}, s as (select arm, list(score order by epoch) as v from runs group by arm) select arm, round(list_reduce(list_transform(range(1, len(v)), lambda n: struct_pack(n := n::double, e := v[n + 1])), lambda a, x: struct_pack(n := x.n, e := a.e + (1 - least(0.9e0, (1 + x.n) / (10 + x.n))) * (x.e - a.e)), struct_pack(n := 0e0, e := v[1])).e, 4) as ema from s")
 def q_ema(s, d):
-    return runlog.moving_average(runs(s, d), "arm", "epoch", "score", 0.9).withColumn("ema", F.round("ema", 6))
+    return runlog.moving_average(runs(s, d), "arm", "epoch", "score", 0.9).withColumn("ema", F.round("ema", 4))
 
 
 @query("q_lr_schedule", "select i as step, round(case when i < 100 then 1e-3 * (i + 1) / 100 else 1e-5 + 0.5e0 * (1e-3 - 1e-5) * (1 + cos(pi() * least(1e0, (i - 100) / 1900e0))) end, 12) as lr from range(2000) as r(i)")
