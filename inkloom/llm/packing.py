@@ -77,7 +77,7 @@ def pack(items: DataFrame, capacities: DataFrame, seed: int = 7, group: int = GR
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def fill(table: pa.Table) -> pa.Table:
-        parts, table = [], table.sort_by("doc_id")
+        parts, table = [], table.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])
         size, g = table.column("n_tokens").to_numpy(), table.column("g")[0].as_py()
         ids = table.column("doc_id").combine_chunks()
         for spec, capacity in specs:
