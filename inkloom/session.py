@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,18 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where their path doesn't have it: Spark hands them a zip of it, once a context."""
+    root = Path(__file__).resolve().parent
+    places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    sc = spark.sparkContext
+    here = sc.master.startswith("local") and any(p and Path(p).resolve() == root.parent for p in places)
+    if here or any(Path(f).name == "inkloom.zip" for f in sc._python_includes):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="inkloom-")) / "inkloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
