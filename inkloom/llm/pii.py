@@ -278,9 +278,12 @@ def learn(spark: SparkSession, documents: DataFrame, names: DataFrame, classes:
                 getattr(known, role[word]).add(word)
         if not new:
             break
+    names = known.given | known.family
+    known.towns = {t for t in known.towns if names.isdisjoint(t.split(" "))}  # what follows a house number may also be a name
     given = spark.createDataFrame([(w, 1) for w in sorted(known.given)], "word string, known int")
     by_template = lines.join(given, "word", "left").groupBy("template").agg(F.count("known").alias("k"), (F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("part"))
-    known.templates = {r.template for r in bounded(by_template.where((F.col("k") >= PARTNERS) & (F.col("part") >= 0.3)).select("template"))}
+    good = bounded(by_template.where((F.col("k") >= PARTNERS) & (F.col("part") >= 0.3)).select("template"))
+    known.templates = {r.template for r in good if names.isdisjoint(r.template.split(" "))}
     return known, folding
 
 
