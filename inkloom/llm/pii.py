@@ -60,6 +60,7 @@ MAILBOX = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._+-")
 AT = re.compile(r"@|[\[({] ?at ?[\])}]| at (?=[a-z0-9\-]+ (?:dot|\[dot\]) )|שטרודל|כרוכית")
 ADDRESS = re.compile(r"(?<![א-ת'])(?:[ולמבשכה]{0,2})(" + "|".join(STREET_WORDS) + r") ([א-ת]{2,}(?: [א-ת]{2,}){0,2}) (?:מס' )?(\d{1,4})(?!\d)(/\d+)?")
 REST = re.compile(r"(?: דירה \d+)?(?:, ?כניסה [א-ת]'?)?(?:, ?קומה [א-ת\d]+)?")
+POSTCODE = re.compile(r" \d{5,7}(?![-. ]?\d)")
 TOWN = re.compile(r", ?([א-ת]{2,}(?:[ -][א-ת]{2,}){0,2})")
 ENGLISH = re.compile(r"(?<![\w/])(?:Flat \d+[A-Za-z]?, ?)?\d{1,5}(?:/\d+)?[A-Za-z]? (?:[A-Z][A-Za-z'\-]+ ){1,3}(?:" + ENGLISH_STREETS + r")\b\.?")
 ENGLISH_TOWN = re.compile(r", ?([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)?)")
@@ -311,7 +312,7 @@ class Finder:
         if m := shape.match(text or low, at):
             for end in sorted({m.end(), *(m.start(1) + x.start() for x in re.finditer(r"[ ]", m[1]))}, reverse=True):
                 if low[m.start(1) : end] in self.known.towns:
-                    code = re.compile(r",? \d{5,7}(?!\d)").match(low, end)
+                    code = POSTCODE.match(low, end)
                     return code.end() if code else end
         return -1
 
@@ -419,6 +420,9 @@ class Finder:
 
         def take(items: Iterator[tuple[str, int, int]]) -> None:
             for kind, a, b in items:
+                # An address reaches as far as nothing else stands in it.
+                if kind == "address" and (other := taken.find(1, a + 1, b)) > 0 and not taken[a] and any(c.isdigit() for c in low[a:other]):
+                    b = a + len(low[a:other].rstrip(" ,"))
                 if taken.find(1, a, b) < 0:
                     taken[a:b] = b"\1" * (b - a)
                     found.append((kind, a, b))

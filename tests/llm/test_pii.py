@@ -25,6 +25,8 @@ CASES = [
     ("גרנו ברח' הזית 12/28, תל אשכול.", [("address", "רח' הזית 12/28, תל אשכול")]),
     ("שדרות נחל הקנים 18 דירה 2", [("address", "שדרות נחל הקנים 18 דירה 2")]),
     ("מען: הזית 25, תל אשכול 1234567 ;", [("address", "הזית 25, תל אשכול 1234567")]),
+    ("רחוב הזית 40, תל אשכול, 00972-50-5559942", [("phone", "00972-50-5559942"), ("address", "רחוב הזית 40, תל אשכול")]),
+    ("13 Fig Road, 07700 900040; סמטת הזית 4, דנה כרמפומרי", [("address", "13 Fig Road"), ("phone", "07700 900040"), ("address", "סמטת הזית 4"), ("name", "דנה כרמפומרי")]),
     ("at Flat 9, 55 Old Well Road, x. 13 Fig St. Lane 321 of the list", [("address", "Flat 9, 55 Old Well Road"), ("address", "13 Fig St.")]),
     ("ברחוב הזית פרחו עצים. בכיכר הטבחית ניקתה 35 זית. אכלנו הזית 5 פעמים", []),
     ("מסרתי לגב' דנה כרמפומרי-זלטזודה את", [("name", "דנה כרמפומרי-זלטזודה")]),
@@ -42,7 +44,7 @@ def test_cases(finder, text, want):
     assert folded == pii.folded(folding, text)
     places = places or list(range(len(text)))
     got = [(k, text[places[a] : places[b - 1] + 1]) for k, a, b in find.find(folded)]
-    assert got == want
+    assert sorted(got) == sorted(want)
 
 
 def test_check_digit():
