@@ -3,9 +3,9 @@
 Texts are folded to words in which look-alikes, vowel points and punctuation don't
 matter. Of every ``window`` grams in a row the one of least hash is kept, so any run
 of ``window + k - 1`` shared words leaves a shared fingerprint. Fingerprints of
-training texts and of distinct held-out texts are joined, pairs with too few shared
-grams for any admissible span are dropped, and the rest are extended by an alignment
-that decides exactly.
+training texts and of distinct held-out texts are joined, of each held-out text without
+as many of its commonest as any admissible span has to spare, and every pair met is
+extended by an alignment that decides exactly.
 
 The smallest span asked for is five words of which one may be miscopied; if that is
 the third, the longest shared run has two words. With k = 2 the guarantee for runs of
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.llm.lookalike import Lookalikes
@@ -173,9 +173,13 @@ def leaks(spark: SparkSession, batches: DataFrame, lines: DataFrame, classes: Lo
 
     of_lines = distinct.mapInArrow(prints_of_lines, "line_key string, gram bigint, i int, least int")
     of_texts = batches.select("batch_id", "texts").where("texts is not null").mapInArrow(prints_of_texts, f"batch_id {kind}, text_no int, gram bigint, j int")
-    # One row a shared gram; a pair needs as many different grams of the line as any admissible span shares.
-    hits = of_texts.join(of_lines, "gram").groupBy("batch_id", "text_no", "line_key").agg(F.count_distinct("i").alias("shared"), F.first("least").alias("least"), F.min("j").alias("from"), F.max("j").alias("to"))
-    pairs = settle(hits.where("shared >= least").drop("shared", "least"), "pairs")
+    # An admissible span shares `least` grams of its line, so it shares one still if the line's `least - 1` commonest are
+    # left out: a gram of very many lines drops out of each line that it is the commonest of, and no span is lost.
+    common = of_lines.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("line_key").orderBy(F.desc("n"), "gram", "i"))
+    kept = of_lines.join(common, "gram").withColumn("rank", rank).where("rank >= least").select("line_key", "gram")
+    hits = of_texts.join(kept, "gram").groupBy("batch_id", "text_no", "line_key").agg(F.min("j").alias("from"), F.max("j").alias("to"))
+    pairs = settle(hits, "pairs")
 
     def extend(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
