@@ -69,3 +69,64 @@ def estimated_batches(rows: DataFrame, width: str, budget: int, most: int = 64)
 def padded(values: Column, length: int) -> Column:
     """The array filled up with zeros on the right."""
     return F.concat(values, F.array_repeat(F.lit(0).cast("int"), F.greatest(F.lit(0), F.lit(length) - F.size(values))))
+
+
+def density_factor(width: Column, text: Column, target: float, jitter: Column | float = 1.0) -> Column:
+    """The factor that brings a line to ``target`` pixels a character: kept within 0.4 and 8, and 1 where it is within 2 % of that; 1 for empty text."""
+    now = width / F.nullif(F.length(F.coalesce(text, F.lit(""))), F.lit(0))
+    factor = F.least(F.greatest(F.lit(target) / now * jitter, F.lit(0.4)), F.lit(8.0))
+    return F.when(now.isNull() | (F.abs(factor - 1) < 0.02), 1.0).otherwise(factor)
+
+
+def ramp(epoch: Column, epochs: int) -> Column:
+    """The strength of distortions by epoch: from about a third to all of it."""
+    return 0.33 + 0.67 * F.least(F.lit(1.0), (epoch + 1) / (epochs + 1))
+
+
+def joined_groups(rows: DataFrame, key: str, width: str, may_join: Column, chance: float, most: int = 3, gap: int = 24, widest: int = 2400, pool: int = POOL, seed: int = 0) -> DataFrame:
+    """``(key, group_no, place, group_width)``: rows in seeded order, now and then two or more neighbours as one group.
+
+    Only rows that may be joined start or enter a group; a row that may not ends it. Every
+    row is in one group once; a group too wide is its first row alone. Pools run apart.
+    """
+    good = rows.select(F.col(key).alias("k"), F.col(width).cast("bigint").alias("w"), may_join.alias("ok"), F.xxhash64(F.lit(seed), key).alias("h")).where("w is not null")
+    pools = max(1, -(-good.count() // pool))
+    kind = good.schema["k"].dataType.simpleString()
+
+    def go(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "k"], kind="stable")
+        w, ok, h = pdf.w.tolist(), pdf.ok.fillna(False).astype(bool).tolist(), pdf.h.tolist()
+        group, place, total, i, g = [], [], [], 0, 0
+        while i < len(w):
+            n = 1
+            if ok[i] and (h[i] & 0xFFFF) / 0x10000 < chance:
+                want = 2 + (h[i] >> 16 & 0xFF) % max(1, most - 1)
+                while n < want and i + n < len(w) and ok[i + n]:
+                    n += 1
+                if sum(w[i : i + n]) + gap * (n - 1) > widest:
+                    n = 1
+            group += [g] * n
+            place += range(n)
+            total += [sum(w[i : i + n]) + gap * (n - 1)] * n
+            i, g = i + n, g + 1
+        return pdf.assign(group_no=group, place=place, group_width=total)[["k", "pool_no", "group_no", "place", "group_width"]]
+
+    salted = good.withColumn("pool_no", F.pmod("h", F.lit(pools)).cast("int"))
+    return salted.groupBy("pool_no").applyInPandas(go, f"k {kind}, pool_no int, group_no int, place int, group_width bigint").withColumnRenamed("k", key)
+
+
+def draw(widths: list[int], count: int, budget: int) -> list[int]:
+    """Places of up to ``count`` rows, in order, whose number times the widest stays within the budget; rows that don't fit are passed over."""
+    out, widest = [], 0
+    for i, w in enumerate(widths):
+        if len(out) == count:
+            break
+        if (len(out) + 1) * max(widest, w) <= budget:
+            out.append(i)
+            widest = max(widest, w)
+    return out
+
+
+def weights(df: DataFrame, group: str, weight: str) -> DataFrame:
+    """With each weight as its part of its group's sum."""
+    return df.withColumn(weight, F.col(weight) / F.sum(weight).over(Window.partitionBy(group)))

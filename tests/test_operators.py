@@ -170,6 +170,25 @@ def test_widths_and_joins(spark):
     assert got == {"p": ("a b", 1124), "q": ("d", 5000)}
 
 
+def test_groups_and_draws(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, int(w), i % 5 != 0) for i, w in enumerate(rng.integers(100, 900, 2000))], "k int, w int, ok boolean")
+    rows = batching.joined_groups(df, "k", "w", F.col("ok"), 0.4, widest=1500, pool=500).collect()
+    assert sorted(r.k for r in rows) == list(range(2000))
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.pool_no, r.group_no), []).append(r)
+    sizes = Counter(len(g) for g in groups.values())
+    assert sizes[2] > 50 and sizes[3] > 20 and max(sizes) == 3
+    assert all(len(g) == 1 or (all(r.k % 5 for r in g) and g[0].group_width <= 1500) for g in groups.values())
+    assert batching.draw([5, 100, 6, 7, 8], 3, 24) == [0, 2, 3] and batching.draw([], 3, 9) == []
+    one = spark.createDataFrame([(300, "abcdefghij"), (100, "abcdefghij"), (100, ""), (100, None), (1, "abcdefghij")], "w int, t string")
+    assert [r[0] for r in one.select(batching.density_factor(F.col("w"), F.col("t"), 10.1)).collect()] == [0.4, 1.0, 1.0, 1.0, 8.0]
+    assert [round(r[0], 3) for r in spark.range(3).select(batching.ramp(F.col("id"), 1)).collect()] == [0.665, 1.0, 1.0]
+    w = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0)], "g string, w double")
+    assert sorted(r.w for r in batching.weights(w, "g", "w").collect()) == [0.25, 0.75, 1.0]
+
+
 # ---- logs
 def test_logs(spark):
     df = spark.createDataFrame([("a", 0, 3.0, 1), ("a", 1, 2.0, 1), ("a", 2, 2.5, 2), ("a", 3, 1.0, 1), ("b", 0, None, 1), ("b", 1, 0.5, 1)], "arm string, e int, v double, c int")
