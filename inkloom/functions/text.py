@@ -7,6 +7,8 @@ to be composed. Letters, vowel points and final forms are never changed.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +37,12 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nfc_each(s: pd.Series) -> pd.Series:
+    """Arrays of texts, each composed (NFC)."""
+    return pd.Series([None if a is None else [None if t is None else unicodedata.normalize("NFC", t) for t in a] for a in s], dtype=object)
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, SPACES, " "))
@@ -49,6 +57,11 @@ def normalize(c: Column, compose: bool = True) -> Column:
     return collapse(F.replace(F.replace(c, F.lit(ELLIPSIS), F.lit("...")), F.lit("''"), F.lit('"')))
 
 
+def normalize_each(c: Column) -> Column:
+    """The scoring form of each text of an array; Python UDFs can't stand within ``transform``, so NFC takes the array at once."""
+    return F.transform(nfc_each(c), lambda t: normalize(t, compose=False))
+
+
 def is_blank(c: Column) -> Column:
     return normalize(c) == ""
 

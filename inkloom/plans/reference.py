@@ -553,6 +553,21 @@ def q_collate(s, d):
     return each.select("batch_id", (F.col("i") + 1).alias("place"), F.concat(F.lit("["), joined, F.lit("]")).alias("padded"))
 
 
+# Characters are numbered over the texts themselves, so that none is unknown and dropped.
+@query("q_collate_whole", f"with b as (select row_number() over () as no, * from (select distinct batch_id, texts from train_batches)), each as (select no, batch_id, i, {text.sql_normalize('t')} as t from (select no, batch_id, generate_subscripts(texts, 1) as i, unnest(texts) as t from b)), chars as (select coalesce(list(ch order by ch), []) as chs from (select distinct unnest(regexp_extract_all(t, '(?s).')) as ch from each)), coded as (select no, batch_id, i, list_transform(regexp_extract_all(t, '(?s).'), lambda c: list_position(chs, c)::int) as codes from each, chars) select batch_id, i::int as place, list_resize(codes, max(len(codes)) over (partition by no), 0)::varchar as padded from coded")
+def q_collate_whole(s, d):
+    texts = load(s, d, "train_batches").select("batch_id", "texts").distinct().select("batch_id", text.normalize_each(F.col("texts")).alias("ts"))
+    codec = charset.Codec(charset.build(texts.select(F.explode("ts").alias("t")), "t"))
+    # every character has a number, so a text has as many as characters
+    widest = F.array_max(F.transform("ts", F.length))
+    each = texts.select("batch_id", widest.alias("widest"), F.posexplode("ts").alias("i", "t"))
+    codes = F.array_join(F.transform(codec.encode(F.col("t")), lambda x: x.cast("string")), ", ")
+    zeros = F.repeat(F.lit(", 0"), F.col("widest") - F.length("t"))
+    # a text without characters begins with a zero, not with a comma
+    inner = F.when(F.length("t") > 0, F.concat(codes, zeros)).otherwise(F.substr(zeros, F.lit(3)))
+    return each.select("batch_id", (F.col("i") + 1).alias("place"), F.concat(F.lit("["), inner, F.lit("]")).alias("padded"))
+
+
 # ---- run logs ---------------------------------------------------------------------------------------------------------
 
 RUNS = "runs as (select event_type as arm, datediff('day', date '2024-01-01', ts::date)::int as epoch, round(avg(value), 4) as score, count(*) as cost from events group by all)"
