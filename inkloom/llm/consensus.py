@@ -23,14 +23,12 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm.lookalike import Lookalikes
 from inkloom.session import settle
 
-#: Other readers that are looked at for each reader, those with most lines in common first.
-PARTNERS = 64
 COUNTS = ("n", "same", "lost", "lost_same")
 #: Readers whose weights are sent to all tasks; with more of them the weights are joined to the reads.
 MOST_SENT = 100_000
@@ -86,9 +84,8 @@ def agreements(voted: DataFrame) -> DataFrame:
 
 def solve(pairs: DataFrame, s: float) -> DataFrame:
     """``(reader_id, p)`` from ``(i, j, n, m)`` in both directions, by least squares over all triplets."""
-    near = pairs.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "j"))).where(F.col("k") <= PARTNERS)
-    ij = near.select("i", "j", F.col("m").alias("mij"))
-    ik = near.select("i", F.col("j").alias("k"), F.col("m").alias("mik"))
+    ij = pairs.select("i", "j", F.col("m").alias("mij"))
+    ik = pairs.select("i", F.col("j").alias("k"), F.col("m").alias("mik"))
     jk = pairs.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("m").alias("mjk"))
     each = ij.join(ik, "i").where("j < k").join(jk, ["j", "k"])
     return each.groupBy(F.col("i").alias("reader_id")).agg((F.sqrt(F.greatest(F.sum(F.expr("mij * mik * mjk")) / F.nullif(F.sum(F.expr("mjk * mjk")), F.lit(0.0)), F.lit(0.0))) + s).alias("p"))

@@ -60,3 +60,15 @@ def test_weights_joined_when_there_are_many_readers(spark, classes, monkeypatch)
     few = sorted(map(tuple, consensus.decide(consensus.weighed(voted, readers)).collect()))
     monkeypatch.setattr(consensus, "MOST_SENT", 3)
     assert sorted(map(tuple, consensus.decide(consensus.weighed(voted, readers)).collect())) == few
+
+
+def test_all_triplets_count(spark):
+    rnd = random.Random(5)
+    names = [f"r{k:02}" for k in range(70)]
+    m = {(i, j): rnd.uniform(0.1, 0.9) for i in names for j in names if i < j}
+    both = {**m, **{(j, i): v for (i, j), v in m.items()}}
+    got = {r.reader_id: r.p for r in consensus.solve(spark.createDataFrame([(i, j, 1 + (i < "r05"), v) for (i, j), v in both.items()], "i string, j string, n bigint, m double"), 0.1).collect()}
+    for i in names:
+        jk = [(j, k) for j, k in m if i not in (j, k)]
+        p = (sum(both[i, j] * both[i, k] * m[j, k] for j, k in jk) / sum(m[x] ** 2 for x in jk)) ** 0.5 + 0.1
+        assert abs(got[i] - p) < 1e-9
