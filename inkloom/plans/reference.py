@@ -348,8 +348,7 @@ def q_ctc_beam(s, d):
 
 @query("q_rover")
 def q_rover(s, d):
-    forms = F.transform("reads", lambda r: text.normalize(r, compose=False))
-    return gold(s, d).select("line_id", combine.voted(forms).alias("voted"))
+    return gold(s, d).select("line_id", combine.voted(text.normalize_each(F.col("reads"))).alias("voted"))
 
 
 @query("q_tta_select", "with v as (select user_id as line_id, event_id % 5 as scale, round(max(value), 4) as score, max(event_type) as said from events group by all), r as (select *, row_number() over (partition by line_id order by score desc, scale) as k from v) select line_id, said as text, scale::bigint as view from r where k = 1")

@@ -14,3 +14,12 @@ def test_collate_keeps_long_texts(spark, tmp_path):
         (1, 1): str([1, 2] * 100 + [3]), (1, 2): str([1, *zeros(200)]), (1, 3): str(zeros(201)), (1, 4): str(zeros(201)),
         (2, 1): "[1, 2]", (2, 2): "[2, 0]", (5, 1): "[]",
     }
+
+
+def test_rover_votes_on_composed_reads(spark, tmp_path):
+    # two spellings of one letter are one vote: together they outweigh the pivot's
+    rows = [("a", ["cafe", "cafe\u0301", "caf\u00e9"]), ("b", ["x", None, "x"]), ("c", []), ("d", None)]
+    full = [(k, "p", 1, "t", reads, [], None) for k, reads in rows]
+    spark.createDataFrame(full, "line_id string, page_id string, line_index int, text string, reads array<string>, reader_ids array<string>, chosen_read_index int").write.parquet(f"{tmp_path}/gold_lines.parquet")
+    got = {r.line_id: r.voted for r in entry.queries()["q_rover"](spark, str(tmp_path)).collect()}
+    assert got == {"a": "caf\u00e9", "b": "x", "c": "", "d": ""}
