@@ -59,6 +59,32 @@ def joined_lines(lines: DataFrame, group: str, order: str, text: str, width: str
     return kept.groupBy(group).agg(F.array_join(F.transform(pieces, lambda p: p["t"]), " ").alias("text"), F.max("total").cast("bigint").alias("width"), F.count(F.lit(1)).alias("n_lines"))
 
 
+def joined_rows(lines: DataFrame, group: str, order: str, text: str, width: str, gap: int = 24, most: int = 1792) -> DataFrame:
+    """``(group, row_no, text, width, n_lines)``: every line of a group in one row; a new row starts where the width would pass the limit.
+
+    A line wider than the limit is a row of its own. Lines of equal order go by text; null texts count as empty, null widths as 0.
+    """
+
+    @F.pandas_udf("array<struct<row_no: int, text: string, width: bigint, n_lines: bigint>>")
+    def go(texts: pd.Series, widths: pd.Series) -> pd.Series:
+        out = []
+        for ts, ws in zip(texts, widths, strict=True):
+            rows: list[dict] = []
+            for t, w in zip(ts, ws, strict=True):
+                if rows and rows[-1]["width"] + gap + w <= most:
+                    r = rows[-1]
+                    r["text"].append(t)
+                    r["width"] += gap + int(w)
+                else:
+                    rows.append({"row_no": len(rows), "text": [t], "width": int(w)})
+            out.append([{**r, "text": " ".join(r["text"]), "n_lines": len(r["text"])} for r in rows])
+        return pd.Series(out, dtype=object)
+
+    piece = F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t"), F.coalesce(width, F.lit(0)).cast("bigint").alias("w"))
+    pages = lines.groupBy(group).agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    return pages.select(group, F.explode(go(F.col("p.t"), F.col("p.w"))).alias("r")).select(group, "r.*")
+
+
 def estimated_batches(rows: DataFrame, width: str, budget: int, most: int = 64) -> DataFrame:
     """One row: how many batches about the mean width leads to."""
     mean = F.greatest(F.avg(width), F.lit(1.0))

@@ -539,6 +539,12 @@ def q_joined_lines(s, d):
     return batching.joined_lines(lines, "page_id", "line_index", "t", "w")
 
 
+@query("q_joined_rows", f"with recursive {GOLD}, l as (select page_id, list({text.sql_normalize('text')} order by line_index nulls first, {text.sql_normalize('text')}) as ts from gold group by page_id), r as (select page_id, ts, 1 as i, 0 as row_no, 12 * length(ts[1]) as total from l union all select page_id, ts, i + 1, case when total + 24 + 12 * length(ts[i + 1]) <= 1792 then row_no else row_no + 1 end, case when total + 24 + 12 * length(ts[i + 1]) <= 1792 then total + 24 else 0 end + 12 * length(ts[i + 1]) from r where i < len(ts)) select page_id, row_no, string_agg(ts[i], ' ' order by i) as text, max(total)::bigint as width, count(*) as n_lines from r group by page_id, row_no")
+def q_joined_rows(s, d):
+    lines = normal_gold(s, d).withColumn("w", F.length("t") * 12)
+    return batching.joined_rows(lines, "page_id", "line_index", "t", "w")
+
+
 @query("q_estimated_batches", "select greatest(1, count(*) // greatest(1, least(64, floor(20000 / greatest(avg(n_chars), 1e0))::bigint)))::bigint as n_batches, round(avg(n_chars), 6) as mean_width from documents where n_chars is not null")
 def q_estimated_batches(s, d):
     return batching.estimated_batches(load(s, d, "documents").where("n_chars is not null"), "n_chars", 20_000)
