@@ -43,31 +43,38 @@ def scored(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     return with_d.withColumn("hit", shared_words(split_words(r), split_words(h)).cast("bigint")).withColumn("words", F.size(split_words(r)).cast("bigint"))
 
 
-def line_report(hyp: str = "hyp", digits: int = 6) -> list[Column]:
-    """The aggregates of a report over scored pairs; blank hypotheses are left out but for the no-drop median, which charges them in full."""
+def line_report(hyp: str = "hyp", digits: int = 6, keep: list[str] | None = None) -> list[Column]:
+    """The aggregates of a report over scored pairs, or those named in ``keep``; blank hypotheses are left out but for the no-drop median, which charges them in full."""
     said = F.col(hyp) != ""
     cer_, q = F.when(said, F.col("cer")), lambda x: F.round(x, digits)
     part = lambda a, b: q(F.sum(F.when(said, a)) / F.nullif(F.sum(F.when(said, b)), F.lit(0)))
     each = F.when(F.col("words") > 0, F.col("hit") / F.col("words")).otherwise(0.0)
-    return [
-        F.count(F.lit(1)).alias("n_total"),
-        F.count_if(said).alias("n_scored"),
-        F.count_if(~said).alias("n_blank"),
-        q(F.percentile(cer_, F.lit(0.5))).alias("cer_median"),
-        q(F.percentile(cer_, F.lit(0.25))).alias("cer_q1"),
-        q(F.percentile(cer_, F.lit(0.75))).alias("cer_q3"),
-        part(F.col("d"), F.col("n")).alias("cer_micro"),
-        q(F.percentile(F.when(said, F.col("cer")).otherwise(1.0), F.lit(0.5))).alias("cer_median_nodrop"),
-        q(F.avg(F.when(said, each))).alias("wcov_macro"),
-        part(F.col("hit"), F.col("words")).alias("wcov_micro"),
-    ]
+    quartiles = F.percentile(cer_, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # one buffer for all three
+    named = {
+        "n_total": F.count(F.lit(1)),
+        "n_scored": F.count_if(said),
+        "n_blank": F.count_if(~said),
+        "cer_median": q(F.get(quartiles, F.lit(1))),
+        "cer_q1": q(F.get(quartiles, F.lit(0))),
+        "cer_q3": q(F.get(quartiles, F.lit(2))),
+        "cer_micro": part(F.col("d"), F.col("n")),
+        "cer_median_nodrop": q(F.percentile(F.when(said, F.col("cer")).otherwise(1.0), F.lit(0.5))),
+        "wcov_macro": q(F.avg(F.when(said, each))),
+        "wcov_micro": part(F.col("hit"), F.col("words")),
+    }
+    return [named[k].alias(k) for k in keep or named]
 
 
 def page_report(hyp: str = "hyp", digits: int = 6) -> list[Column]:
     """The same over pages, where blank ones are left out altogether."""
-    keep = ["n_scored", "n_blank", "cer_micro", "cer_median", "wcov_macro", "wcov_micro"]
-    named = {c._jc.toString().rpartition(" AS ")[2]: c for c in line_report(hyp, digits)}
-    return [F.count(F.lit(1)).alias("n_pages"), *(named[k] for k in keep)]
+    return [F.count(F.lit(1)).alias("n_pages"), *line_report(hyp, digits, ["n_scored", "n_blank", "cer_micro", "cer_median", "wcov_macro", "wcov_micro"])]
+
+
+def summary(digits: int = 4) -> Column:
+    """A line report in one sentence, as a column over its row."""
+    number = lambda c: F.coalesce(F.format_string(f"%.{digits}f", F.col(c)), F.lit("-"))
+    count = lambda c: F.col(c).cast("string")
+    return F.concat(F.lit("median "), number("cer_median"), F.lit(" ["), number("cer_q1"), F.lit(", "), number("cer_q3"), F.lit("], micro "), number("cer_micro"), F.lit(", no drop "), number("cer_median_nodrop"), F.lit(", words "), number("wcov_micro"), F.lit(", scored "), count("n_scored"), F.lit(" of "), count("n_total"))
 
 
 # ---- the same in SQL, for comparisons ----------------------------------------------------------------------------------

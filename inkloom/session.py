@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +12,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of applications that have no shared folder set, on one machine.
+_own: dict[str, str] = {}
+
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the library is tested with."""
@@ -26,27 +31,51 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
     )
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and tasks are one process."""
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if folder:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(folder)
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one on a single machine (as in tests), and an error on a cluster."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="inkloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    if not on_one_machine(spark):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.conf.get("spark.app.id", "")
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="inkloom-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """The same rows, read back from a table written to the shared folder: a cut of the lineage that outlives executors.
 
-    The files stay as long as the folder does.
+    The files stay until :func:`release`, or as long as the folder does.
     """
     path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Gives back the space of settled tables that nothing will be read from any more; other tables are left alone.
+
+    A folder of this machine is removed, one of another file system is left with an empty table.
+    """
+    for t in tables:
+        path = getattr(t, "settled_at", None)
+        if path is None:
+            continue
+        plain = path.removeprefix("file://")
+        if "://" not in plain:
+            shutil.rmtree(plain, ignore_errors=True)
+        else:
+            t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
@@ -55,7 +84,7 @@ def ship(spark: SparkSession) -> None:
     places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     sc = spark.sparkContext
     here = sc.master.startswith("local") and any(p and Path(p).resolve() == root.parent for p in places)
-    if here or any(Path(f).name == "inkloom.zip" for f in sc._python_includes):
+    if here or any(Path(f).name == "inkloom.zip" for f in sc.listFiles):
         return
     archive = Path(tempfile.mkdtemp(prefix="inkloom-")) / "inkloom.zip"
     with zipfile.ZipFile(archive, "w") as z:
