@@ -83,7 +83,7 @@ def usable(c: Column, letters: str = "[א-ת]") -> Column:
     return (F.length(c) >= 2) & (n >= F.greatest(F.lit(1.0), 0.5 * visible))
 
 
-def sentences(c: Column, allowed: str = r"[^\x{590}-\x{5ff}0-9 '\x{22}\-,:()]+") -> Column:
+def sentences(c: Column, allowed: str = r"[^\x{590}-\x{5ff}0-9 '\x{22}\-,:()\[\]/]+") -> Column:
     """The sentences of a text: cut at line ends and . ! ? ; with other characters blanked and blanks collapsed."""
     return F.transform(F.split(c, r"[\n.!?;]+"), lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, allowed, " "), " +", " ")))
 

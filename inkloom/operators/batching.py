@@ -92,9 +92,10 @@ def estimated_batches(rows: DataFrame, width: str, budget: int, most: int = 64)
     return rows.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / per)).cast("bigint").alias("n_batches"), F.round(F.avg(width), 6).alias("mean_width"))
 
 
-def padded(values: Column, length: int) -> Column:
-    """The array filled up with zeros on the right."""
-    return F.concat(values, F.array_repeat(F.lit(0).cast("int"), F.greatest(F.lit(0), F.lit(length) - F.size(values))))
+def padded(values: Column, length: Column | int) -> Column:
+    """The array filled up with zeros on the right; nothing is cut off a longer one."""
+    length = F.lit(length) if isinstance(length, int) else length
+    return F.concat(values, F.array_repeat(F.lit(0).cast("int"), F.greatest(F.lit(0), length - F.size(values))))
 
 
 def density_factor(width: Column, text: Column, target: float, jitter: Column | float = 1.0) -> Column:
@@ -142,12 +143,12 @@ def joined_groups(rows: DataFrame, key: str, width: str, may_join: Column, chanc
 
 
 def draw(widths: list[int], count: int, budget: int) -> list[int]:
-    """Places of up to ``count`` rows, in order, whose number times the widest stays within the budget; rows that don't fit are passed over."""
+    """Places of up to ``count`` rows, in order, whose number times the widest stays within the budget; rows that don't fit are passed over, but the first row is always taken."""
     out, widest = [], 0
     for i, w in enumerate(widths):
         if len(out) == count:
             break
-        if (len(out) + 1) * max(widest, w) <= budget:
+        if not out or (len(out) + 1) * max(widest, w) <= budget:
             out.append(i)
             widest = max(widest, w)
     return out

@@ -6,11 +6,11 @@ is bounded by the alphabet. Null texts count as empty; characters outside the se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The characters of the standard set, in order.
-STANDARD = "אבגדהוזחטיךכלםמןנסעףפץצקרשת0123456789 .,;:!?'\"-()[]/|*+=%&@#ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+# The characters of the standard set, in order (letters, digits, punctuation, Latin letters).
+STANDARD = "אבגדהוזחטיכךלמםנןסעפףצץקרשת" "0123456789" " '\"-.,:;!?()[]{}/\\|*+=%&#@_<>~^$" "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MOST = 65_000  # characters that a set may have for encoding
 
 
@@ -30,6 +30,25 @@ def build(texts: DataFrame, column: str, least: int = 1) -> DataFrame:
     return found.unionByName(texts.sparkSession.createDataFrame([(0, "")], "idx int, ch string"))
 
 
+def standard(spark: SparkSession) -> DataFrame:
+    """The standard set as a table."""
+    return spark.createDataFrame(list(enumerate(["", *STANDARD])), "idx int, ch string")
+
+
+def save(charset: DataFrame, path: str) -> None:
+    """Writes a set as JSON lines, one a character; an alphabet is one small file."""
+    charset.select("idx", "ch").orderBy("idx").coalesce(1).write.mode("overwrite").json(path)
+
+
+def restore(spark: SparkSession, path: str) -> DataFrame:
+    """A set written by ``save``; one whose index 0 isn't the blank is an error."""
+    found = spark.read.schema("idx int, ch string").json(path)
+    blank = found.where("idx = 0").limit(2).collect()
+    if len(blank) != 1 or blank[0].ch != "":
+        raise ValueError("index 0 of a character set is the blank")
+    return found
+
+
 def extend(base: DataFrame, texts: DataFrame, column: str, least: int = 1) -> DataFrame:
     """The set with the frequent characters it lacks behind its own."""
     new = characters(texts, column).where(F.col("n") >= least).join(base.select("ch"), "ch", "left_anti")

@@ -1,13 +1,16 @@
 """Combining several readings of a line: alignment to a pivot and weighted votes, choice among views, boards.
 
-Votes: the first hypothesis is the pivot; each of the others is aligned to it, and
-every place takes the string with most weight, the pivot's on a tie. Of equally short
+Votes: the first hypothesis is the pivot; each of the others is aligned to it. At the
+pivot's places the string with most weight stands, the pivot's on a tie; what is inserted
+between them stands only if more than half of all weight asks for it. Of equally short
 alignments the one that keeps or replaces is taken before one that deletes, and that
 before one that inserts. Null hypotheses count as empty; no hypotheses give the empty text.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,17 +60,22 @@ def vote(texts: list[str], weights: list[float] | None = None) -> str:
     pivot = texts[0]
     aligned = [(list(pivot), [""] * (len(pivot) + 1)), *(align(pivot, t) for t in texts[1:])]
 
-    def winner(options: list[str]) -> str:
+    half = math.fsum(weights) / 2
+
+    def heaviest(options: list[str]) -> tuple[float, str]:
         weight: dict[str, float] = {}
         for o, w in zip(options, weights, strict=True):
             weight[o] = weight.get(o, 0.0) + w
-        return max(weight, key=lambda o: weight[o])  # the first of equals, and the pivot's comes first
+        best = max(weight, key=weight.__getitem__)  # the first of equals, and the pivot's comes first
+        return weight[best], best
 
     out = []
     for k in range(len(pivot) + 1):
-        out.append(winner([a[1][k] for a in aligned]))
+        if any(a[1][k] for a in aligned):
+            weight, said = heaviest([a[1][k] for a in aligned])
+            out.append(said if weight > half else "")
         if k < len(pivot):
-            out.append(winner([a[0][k] for a in aligned]))
+            out.append(heaviest([a[0][k] for a in aligned])[1])
     return "".join(out)
 
 
@@ -88,14 +96,26 @@ def choose_view(views: DataFrame, key: list[str], score: str, order: str, text:
     return views.groupBy(*key).agg(best.alias("b")).select(*key, F.coalesce("b.text", F.lit("")).alias("text"), F.col("b.view").alias("view"))
 
 
+#: Entries that a board may have; it goes into the plan as a literal.
+MOST_ENTRIES = 10_000
+
+
+def entries(board: DataFrame, *columns: str) -> list:
+    """The rows of a board, a short published list; more of them than ``MOST_ENTRIES`` are an error."""
+    rows = board.select(*columns).limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"a board has at most {MOST_ENTRIES} entries")
+    return rows
+
+
 def rank_in(reports: DataFrame, value: str, board: DataFrame, board_value: str) -> DataFrame:
-    """The reports with ``rank``: one more than the board's entries with a smaller value. A board is a short published list."""
-    values = F.broadcast(board.agg(F.sort_array(F.collect_list(board_value)).alias("board_values")))
-    return reports.crossJoin(values).withColumn("rank", F.size(F.filter("board_values", lambda x: x < F.col(value))) + 1).drop("board_values")
+    """The reports with ``rank``: one more than the board's entries with a smaller value. Null values of a board count for nothing."""
+    values = F.array(*(F.lit(float(r[0])) for r in entries(board, board_value) if r[0] is not None)).cast("array<double>")
+    return reports.withColumn("rank", F.size(F.filter(values, lambda x: x < F.col(value))) + 1)
 
 
 def nearest_in(reports: DataFrame, value: str, board: DataFrame, name: str, board_value: str, order: str) -> DataFrame:
     """The reports with ``nearest``: the board's entry of least difference, the first of equals."""
-    entries = F.broadcast(board.agg(F.collect_list(F.struct(F.col(board_value).alias("v"), F.col(order).alias("o"), F.col(name).alias("m"))).alias("entries")))
-    near = F.array_min(F.transform("entries", lambda e: F.struct(F.abs(e["v"] - F.col(value)).alias("d"), e["o"].alias("o"), e["m"].alias("m"))))
-    return reports.crossJoin(entries).withColumn("nearest", near["m"]).drop("entries")
+    rows = sorted((r for r in entries(board, board_value, order, name) if r[0] is not None), key=lambda r: r[1])
+    each = [F.struct(F.abs(F.lit(float(v)) - F.col(value)).alias("d"), F.lit(i).alias("o"), F.lit(m).alias("m")) for i, (v, _, m) in enumerate(rows)]
+    return reports.withColumn("nearest", F.array_min(F.array(*each))["m"] if each else F.lit(None).cast("string"))

@@ -172,7 +172,7 @@ def q_usable_lines(s, d):
     return gold(s, d).select("line_id", text.normalize(F.col("text")).alias("n")).where(text.usable(F.col("n"))).select("line_id")
 
 
-@query("q_clean_sentences", """with s as (select doc_id, trim(regexp_replace(regexp_replace(u, '[^\\x{590}-\\x{5ff}0-9 ''\\x{22}\\-,:()]+', ' ', 'g'), ' +', ' ', 'g')) as sentence from (select doc_id, unnest(regexp_split_to_array(text, '[\\n.!?;]+')) as u from documents where text is not null))
+@query("q_clean_sentences", """with s as (select doc_id, trim(regexp_replace(regexp_replace(u, '[^\\x{590}-\\x{5ff}0-9 ''\\x{22}\\-,:()\\[\\]/]+', ' ', 'g'), ' +', ' ', 'g')) as sentence from (select doc_id, unnest(regexp_split_to_array(text, '[\\n.!?;]+')) as u from documents where text is not null))
  select doc_id, sentence, count(*) as n from s where length(sentence) >= 12 and len(regexp_extract_all(sentence, '[\\x{590}-\\x{5ff}]')) >= 0.5 * length(sentence) group by all""")
 def q_clean_sentences(s, d):
     each = load(s, d, "documents").where("text is not null").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence"))
@@ -398,10 +398,13 @@ def q_split_semi_join(s, d):
     return pages.join(listed, "name", "left_semi").select("xml_id").distinct()
 
 
-@query("q_stem_join", "with p as (select distinct xml_id, regexp_replace(regexp_extract(page_file, '([^/]*)$', 1), '\\.[^.]*$', '') as stem from page_xml) select a.stem, a.xml_id as first_id, b.xml_id as later_id from p a join p b on a.stem = b.stem and a.xml_id < b.xml_id")
+@query("q_stem_join", "with p as (select distinct xml_id, regexp_replace(regexp_extract(page_file, '([^/]*)$', 1), '\\.[^.]*$', '') as stem, regexp_replace(regexp_extract(regexp_extract(body, 'imageFilename\\s*=\\s*[\x22'']([^\x22'']*)', 1), '([^/]*)$', 1), '\\.[^.]*$', '') as image from page_xml where body is not null) select a.stem, a.xml_id, b.n_images from p a join (select image as stem, count(*) as n_images from p where image <> '' group by image) b using (stem)")
 def q_stem_join(s, d):
-    p = load(s, d, "page_xml").select("xml_id", readers.stem(F.col("page_file")).alias("stem")).distinct()
-    return p.withColumnRenamed("xml_id", "first_id").join(p.withColumnRenamed("xml_id", "later_id"), "stem").where("first_id < later_id")
+    """Exports against the images that exports name, by stem; the images are counted first, so that a stem that comes often makes no pairs."""
+    named = F.regexp_extract("body", r"imageFilename\s*=\s*[\"']([^\"']*)", 1)
+    p = load(s, d, "page_xml").where("body is not null").select("xml_id", readers.stem(F.col("page_file")).alias("stem"), readers.stem(named).alias("image")).distinct()
+    images = p.where("image <> ''").groupBy(F.col("image").alias("stem")).agg(F.count(F.lit(1)).alias("n_images"))
+    return p.drop("image").join(images, "stem")
 
 
 @query("q_system_zip", f"with {GOLD} select line_id, (i - 1)::int as place, reader_ids[i] as reader_id, reads[i] as read from (select *, generate_subscripts(reads, 1) as i from gold)")
@@ -533,14 +536,8 @@ def q_alignable(s, d):
     return each.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(batching.steps(F.col("z.widths")) >= F.col("z.target_lengths")).alias("n_alignable"))
 
 
-@query("q_joined_lines", f"with {GOLD}, l as (select page_id, line_index, line_id, {text.sql_normalize('text')} as t from gold), r as (select *, sum(12 * length(t) + 24) over w - 24 as total, row_number() over w as no from l window w as (partition by page_id order by line_index rows unbounded preceding)) select page_id, string_agg(t, ' ' order by no) as text, max(total)::bigint as width, count(*) as n_lines from r where no = 1 or total <= 1792 group by page_id")
+@query("q_joined_lines", f"with recursive {GOLD}, l as (select page_id, list({text.sql_normalize('text')} order by line_index nulls first, {text.sql_normalize('text')}) as ts from gold group by page_id), r as (select page_id, ts, 1 as i, 0 as row_no, 12 * length(ts[1]) as total from l union all select page_id, ts, i + 1, case when total + 24 + 12 * length(ts[i + 1]) <= 1792 then row_no else row_no + 1 end, case when total + 24 + 12 * length(ts[i + 1]) <= 1792 then total + 24 else 0 end + 12 * length(ts[i + 1]) from r where i < len(ts)) select page_id, row_no, string_agg(ts[i], ' ' order by i) as text, max(total)::bigint as width, count(*) as n_lines from r group by page_id, row_no")
 def q_joined_lines(s, d):
-    lines = normal_gold(s, d).withColumn("w", F.length("t") * 12)
-    return batching.joined_lines(lines, "page_id", "line_index", "t", "w")
-
-
-@query("q_joined_rows", f"with recursive {GOLD}, l as (select page_id, list({text.sql_normalize('text')} order by line_index nulls first, {text.sql_normalize('text')}) as ts from gold group by page_id), r as (select page_id, ts, 1 as i, 0 as row_no, 12 * length(ts[1]) as total from l union all select page_id, ts, i + 1, case when total + 24 + 12 * length(ts[i + 1]) <= 1792 then row_no else row_no + 1 end, case when total + 24 + 12 * length(ts[i + 1]) <= 1792 then total + 24 else 0 end + 12 * length(ts[i + 1]) from r where i < len(ts)) select page_id, row_no, string_agg(ts[i], ' ' order by i) as text, max(total)::bigint as width, count(*) as n_lines from r group by page_id, row_no")
-def q_joined_rows(s, d):
     lines = normal_gold(s, d).withColumn("w", F.length("t") * 12)
     return batching.joined_rows(lines, "page_id", "line_index", "t", "w")
 
@@ -550,17 +547,9 @@ def q_estimated_batches(s, d):
     return batching.estimated_batches(load(s, d, "documents").where("n_chars is not null"), "n_chars", 20_000)
 
 
-@query("q_collate", "select batch_id, i::int as place, list_resize(list_transform(regexp_extract_all(coalesce(t, ''), '(?s).'), lambda c: 1), 130, 0)[1:130]::varchar as padded from (select batch_id, generate_subscripts(texts, 1) as i, unnest(texts) as t from (select distinct batch_id, texts from train_batches))")
-def q_collate(s, d):
-    each = load(s, d, "train_batches").select("batch_id", "texts").distinct().select("batch_id", F.posexplode("texts").alias("i", "t"))
-    ones = F.slice(F.array_repeat(F.lit(1), F.length(F.coalesce("t", F.lit("")))), 1, 130)
-    joined = F.array_join(F.transform(batching.padded(ones, 130), lambda x: x.cast("string")), ", ")
-    return each.select("batch_id", (F.col("i") + 1).alias("place"), F.concat(F.lit("["), joined, F.lit("]")).alias("padded"))
-
-
 # Characters are numbered over the texts themselves, so that none is unknown and dropped.
-@query("q_collate_whole", f"with b as (select row_number() over () as no, * from (select distinct batch_id, texts from train_batches)), each as (select no, batch_id, i, {text.sql_normalize('t')} as t from (select no, batch_id, generate_subscripts(texts, 1) as i, unnest(texts) as t from b)), chars as (select coalesce(list(ch order by ch), []) as chs from (select distinct unnest(regexp_extract_all(t, '(?s).')) as ch from each)), coded as (select no, batch_id, i, list_transform(regexp_extract_all(t, '(?s).'), lambda c: list_position(chs, c)::int) as codes from each, chars) select batch_id, i::int as place, list_resize(codes, max(len(codes)) over (partition by no), 0)::varchar as padded from coded")
-def q_collate_whole(s, d):
+@query("q_collate", f"with b as (select row_number() over () as no, * from (select distinct batch_id, texts from train_batches)), each as (select no, batch_id, i, {text.sql_normalize('t')} as t from (select no, batch_id, generate_subscripts(texts, 1) as i, unnest(texts) as t from b)), chars as (select coalesce(list(ch order by ch), []) as chs from (select distinct unnest(regexp_extract_all(t, '(?s).')) as ch from each)), coded as (select no, batch_id, i, list_transform(regexp_extract_all(t, '(?s).'), lambda c: list_position(chs, c)::int) as codes from each, chars) select batch_id, i::int as place, list_resize(codes, max(len(codes)) over (partition by no), 0)::varchar as padded from coded")
+def q_collate(s, d):
     texts = load(s, d, "train_batches").select("batch_id", "texts").distinct().select("batch_id", text.normalize_each(F.col("texts")).alias("ts"))
     codec = charset.Codec(charset.build(texts.select(F.explode("ts").alias("t")), "t"))
     # every character has a number, so a text has as many as characters

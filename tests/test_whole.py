@@ -8,7 +8,7 @@ def test_collate_keeps_long_texts(spark, tmp_path):
     long = "ab" * 100 + "é"
     rows = [(1, [long, "a", None, ""]), (2, ["ab", "b"]), (3, []), (4, None), (5, [None])]
     spark.createDataFrame(rows, "batch_id bigint, texts array<string>").write.parquet(f"{tmp_path}/train_batches.parquet")
-    got = {(r.batch_id, r.place): r.padded for r in entry.queries()["q_collate_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.batch_id, r.place): r.padded for r in entry.queries()["q_collate"](spark, str(tmp_path)).collect()}
     # composed, the long text has 201 characters; a, b and é are 1, 2 and 3
     zeros = lambda n: [0] * n
     assert got == {
