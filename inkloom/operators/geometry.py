@@ -27,16 +27,24 @@ def overlap(g: str, d: str) -> Column:
     return F.when(c(d).isNotNull() & (wide > 0) & (high > 0) & (area > 0), wide * high / area).otherwise(0.0)
 
 
-def recall(gold: DataFrame, found: DataFrame, page: str, key: str, least: float = 0.5) -> DataFrame:
+def cells(box: str, size: int) -> Column:
+    """The cells of a grid that a box touches, one row each; a box without extent touches that of its corner."""
+    along = lambda c, n: F.sequence(F.floor(F.col(f"{box}.{c}") / size), F.floor((F.col(f"{box}.{c}") + F.greatest(F.col(f"{box}.{n}"), F.lit(1)) - 1) / size))
+    return F.explode_outer(F.flatten(F.transform(along("x", "w"), lambda i: F.transform(along("y", "h"), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
+
+
+def recall(gold: DataFrame, found: DataFrame, page: str, key: str, least: float = 0.5, cell: int = 512) -> DataFrame:
     """``(page, n_gold, n_hit)`` of each page and of all (page null): gold boxes of which one found box covers at least a part.
 
-    Pages are joined by key and only boxes that meet are paired; of each gold box its best cover is kept, in one aggregate.
+    Boxes are joined by the cells of a grid that they touch, so that a page of any number of boxes is spread over tasks; of
+    each gold box its best cover is kept, in one aggregate, for which it doesn't matter that a pair may meet in several cells.
     """
     box = F.struct("x", "y", "w", "h")
-    g, d = gold.select(page, key, box.alias("g")), found.select(F.col(page).alias("_page"), box.alias("d"))
-    meet = [F.col(f"{a}.{c}") < F.col(f"{b}.{c}") + F.col(f"{b}.{n}") for c, n in (("x", "w"), ("y", "h")) for a, b in (("g", "d"), ("d", "g"))]
-    pairs = g.join(d, [F.col(page) == F.col("_page"), *meet], "left")
-    best = pairs.groupBy(page, key).agg(F.max(F.coalesce(overlap("g", "d"), F.lit(0.0))).alias("part"))
+    g = gold.select(page, key, box.alias("_g")).withColumn("_c", cells("_g", cell))
+    d = found.dropna(subset=["x", "y", "w", "h"]).select(F.col(page).alias("_page"), box.alias("_d")).withColumn("_e", cells("_d", cell))
+    meet = [F.col(f"{a}.{c}") < F.col(f"{b}.{c}") + F.col(f"{b}.{n}") for c, n in (("x", "w"), ("y", "h")) for a, b in (("_g", "_d"), ("_d", "_g"))]
+    pairs = g.join(d, [F.col(page) == F.col("_page"), F.col("_c.i") == F.col("_e.i"), F.col("_c.j") == F.col("_e.j"), *meet], "left")
+    best = pairs.groupBy(page, key).agg(F.max(F.coalesce(overlap("_g", "_d"), F.lit(0.0))).alias("part"))
     return best.rollup(page).agg(F.count(F.lit(1)).alias("n_gold"), F.count_if(F.col("part") >= least).alias("n_hit"))
 
 

@@ -36,23 +36,31 @@ def ngram_stats(grams: DataFrame) -> DataFrame:
     return grams.groupBy("n").agg(F.count(F.lit(1)).alias("n_grams"), F.sum("cnt").alias("total"))
 
 
+def scored_grams(grams: DataFrame) -> DataFrame:
+    """``(gram, lp)``: the log-probability of each gram's last character behind the others, for grams whose context is known."""
+    total = grams.where((F.col("n") == 1) & (F.col("gram") != PAD)).agg(F.sum("cnt").alias("total"))
+    contexts = grams.select(F.col("gram").alias("context"), F.col("cnt").alias("ccnt"))
+    each = grams.withColumn("context", F.expr("substring(gram, 1, n - 1)")).join(contexts, "context", "left").crossJoin(F.broadcast(total))
+    base = F.when(F.col("n") == 1, F.col("total")).otherwise(F.col("ccnt"))
+    return each.where((F.col("cnt") > 0) & (base > 0)).select("gram", F.log(F.col("cnt") / base).alias("lp"))
+
+
 def char_logprobs(texts: DataFrame, key: str, column: str, grams: DataFrame, order: int) -> DataFrame:
     """``(key, n_chars, logprob)``: the sum of each text's stupid-backoff scores.
 
-    Every character is looked up with its contexts of all lengths in one join; the
-    longest gram that is known counts, each step back costs log 0.4. Contexts don't
-    reach before the text.
+    Of every character's contexts the longest known one counts, each step back costs log
+    0.4; contexts don't reach before the text. Each text's distinct grams are counted
+    first, and only grams that differ in the whole corpus are looked up with all their
+    endings, so blanks and common letters, whatever their number, are one row a text.
     """
-    chars = texts.where(F.length(column) > 0).select(key, F.col(column).alias("t"), F.explode(F.sequence(F.lit(1), F.length(column))).alias("end"))
-    asked = chars.select(key, "end", F.explode(F.sequence(F.lit(1), F.least(F.lit(order), F.col("end")))).alias("n"), "t").select(key, "end", "n", F.expr("substring(t, end - n + 1, n)").alias("gram"), F.expr("substring(t, end - n + 1, n - 1)").alias("context"), F.least(F.lit(order), F.col("end")).alias("longest"))
+    chars = texts.where(F.length(column) > 0).select(F.col(key).alias("_key"), F.col(column).alias("t"), F.explode(F.sequence(F.lit(1), F.length(column))).alias("end"))
+    asked = chars.select("_key", F.expr(f"substring(t, greatest(1, end - {order} + 1), least({order}, end))").alias("gram")).groupBy("_key", "gram").agg(F.count(F.lit(1)).alias("k"))
     total = grams.where((F.col("n") == 1) & (F.col("gram") != PAD)).agg(F.sum("cnt").alias("total"))
-    contexts = grams.select(F.col("gram").alias("context"), (F.col("n") + 1).alias("n"), F.col("cnt").alias("ccnt"))
-    hit = asked.join(grams, ["n", "gram"], "left").join(contexts, ["n", "context"], "left").crossJoin(F.broadcast(total))
-    base = F.when(F.col("n") == 1, F.col("total")).otherwise(F.col("ccnt"))
-    score = F.when((F.col("cnt") > 0) & (base > 0), F.log(F.col("cnt") / base) + (F.col("longest") - F.col("n")) * math.log(BACKOFF))
-    floor = F.first("longest") * math.log(BACKOFF) - F.log(F.greatest(F.first("total"), F.lit(1)))
-    best = hit.groupBy(key, "end").agg(F.coalesce(F.max_by(score, F.when(score.isNotNull(), F.col("n"))), floor).alias("lp"))
-    return best.groupBy(key).agg(F.count(F.lit(1)).alias("n_chars"), F.sum("lp").alias("logprob"))
+    known = scored_grams(grams).withColumnRenamed("gram", "ending")
+    endings = asked.select("gram").distinct().select("gram", F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("n")).withColumn("ending", F.expr("substring(gram, -n, n)"))
+    longest = endings.join(known, "ending").groupBy("gram").agg(F.max_by(F.col("lp"), "n").alias("lp"), F.max("n").alias("n"))
+    lp = F.coalesce(F.col("lp") + (F.length("gram") - F.col("n")) * math.log(BACKOFF), F.length("gram") * math.log(BACKOFF) - F.log(F.greatest(F.coalesce("total", F.lit(1)), F.lit(1))))
+    return asked.join(longest, "gram", "left").crossJoin(F.broadcast(total)).groupBy(F.col("_key").alias(key)).agg(F.sum("k").alias("n_chars"), F.sum(F.col("k") * lp).alias("logprob"))
 
 
 def word_counts(texts: DataFrame, column: str, word: str = WORD) -> DataFrame:

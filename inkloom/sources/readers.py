@@ -41,7 +41,8 @@ def capped(sources: DataFrame, source: str, key: str, caps: dict[str, int], defa
     """At most so many rows of each source, in seeded order."""
     cap = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in caps.items() for x in kv)), F.col(source)), F.lit(default)) if caps else F.lit(default)
     rank = F.row_number().over(Window.partitionBy(source).orderBy(seeded(seed, F.col(key)), key))
-    return sources.withColumn("rank", rank).where(F.col("rank") <= cap)
+    # The largest cap is a literal, by which every task drops most rows of a large source before the shuffle.
+    return sources.withColumn("rank", rank).where(F.col("rank") <= max([default, *caps.values()])).where(F.col("rank") <= cap)
 
 
 def readable(spark: SparkSession, paths: dict[str, str], read: Callable[[SparkSession, str], DataFrame]) -> tuple[dict[str, DataFrame], list[str]]:
@@ -98,8 +99,12 @@ def corpus_lines(texts: DataFrame, order: str, column: str, budget: int) -> Data
     """
     sized = texts.withColumn("len", F.length(column).cast("bigint")).where("len is not null")
     parts = sized.withColumn("part", F.floor(F.col(order) / 1024))
-    sums = parts.groupBy("part").agg(F.sum("len").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = parts.join(sums.where(F.col("before") < budget).select("part", "before"), "part")
+    sums = parts.groupBy("part").agg(F.sum("len").alias("s")).withColumn("block", F.floor(F.col("part") / 1024))
+    before = lambda w: F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One task sums blocks of about a million rows each; ranges are summed within their block.
+    blocks = sums.groupBy("block").agg(F.sum("s").alias("s")).select("block", before(Window.orderBy("block")).alias("first")).where(F.col("first") < budget)
+    sums = sums.join(blocks, "block").select("part", (F.col("first") + before(Window.partitionBy("block").orderBy("part"))).alias("before"))
+    inside = parts.join(sums.where(F.col("before") < budget), "part")
     so_far = F.coalesce(F.sum("len").over(Window.partitionBy("part").orderBy(order, column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return inside.withColumn("so_far", F.col("before") + so_far).where(F.col("so_far") < budget).drop("part", "before")
 
