@@ -2,11 +2,13 @@ import math
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkloom.functions import text
 from inkloom.operators import batching, charset, combine, ctc, geometry, image, infer, lm, runlog
 from inkloom.sources import readers, sinks
 
@@ -23,7 +25,8 @@ def test_charset(spark):
     rows = df.select("codes", codec.decode(F.col("codes")).alias("d"), codec.known_part(F.col("t"), F.col("codes")).alias("k")).collect()
     assert [(r.codes, r.d, r.k) for r in rows] == [([1, 2, 3], "אבג", 0.75), ([], "", 1.0), ([], "", 1.0)]
     assert [r.ch for r in charset.intersect(built.where("idx > 0"), more).collect()] == ["א"]
-    assert len(set(charset.STANDARD)) == len(charset.STANDARD)
+    assert len(set(charset.STANDARD)) == len(charset.STANDARD) and set("{}\\_<>~^$[]/") <= set(charset.STANDARD)
+    assert charset.STANDARD.index("ת") == 26 and charset.STANDARD[27:38] == "0123456789 " and charset.STANDARD.endswith("XYZ")
 
 
 # ---- language models
@@ -117,6 +120,8 @@ def test_votes(spark):
     assert v(["abX", "abc", "abc"], [3, 1, 1]) == "abX"
     assert v(["abc", "abYc", "abc"]) == "abc" and v(["abc", "abYc", "abYc"]) == "abYc" and v(["abc", "ac", "ac"]) == "ac"
     assert v([]) == "" and v([None, "a", "a"]) == "a"
+    # an insertion needs more than half of all weight, however many ways of inserting there are
+    assert v(["abc", "abxc", "abxc", "abyc"]) == "abc" and v(["abc", "abxc", "abxc", "abxc"]) == "abxc" and v(["abc", "abxc"], [1, 3]) == "abxc"
     with pytest.raises(ValueError):
         v(["a"], [1, 2])
     df = spark.createDataFrame([(["abX", "abc", "abc"],), ([],), (None,)], "t array<string>")
@@ -182,6 +187,7 @@ def test_groups_and_draws(spark):
     assert sizes[2] > 50 and sizes[3] > 20 and max(sizes) == 3
     assert all(len(g) == 1 or (all(r.k % 5 for r in g) and g[0].group_width <= 1500) for g in groups.values())
     assert batching.draw([5, 100, 6, 7, 8], 3, 24) == [0, 2, 3] and batching.draw([], 3, 9) == []
+    assert batching.draw([100, 5, 6], 3, 24) == [0]  # a first row over the budget is a draw of its own
     one = spark.createDataFrame([(300, "abcdefghij"), (100, "abcdefghij"), (100, ""), (100, None), (1, "abcdefghij")], "w int, t string")
     assert [r[0] for r in one.select(batching.density_factor(F.col("w"), F.col("t"), 10.1)).collect()] == [0.4, 1.0, 1.0, 1.0, 8.0]
     assert [round(r[0], 3) for r in spark.range(3).select(batching.ramp(F.col("id"), 1)).collect()] == [0.665, 1.0, 1.0]
@@ -306,3 +312,58 @@ def test_streams(spark, tmp_path):
         q = out.writeStream.outputMode("append" if name == "s" else "complete").format("memory").queryName(name).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() >= n - 1
+
+
+def test_character_set_round_trip(spark, tmp_path):
+    path = str(tmp_path / "set")
+    charset.save(charset.standard(spark), path)
+    back = charset.restore(spark, path)
+    assert {(r.idx, r.ch) for r in back.collect()} == set(enumerate(["", *charset.STANDARD]))
+    charset.save(back.where("idx > 0"), path + "2")
+    with pytest.raises(ValueError):
+        charset.restore(spark, path + "2")
+
+
+def test_boards_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(combine, "MOST_ENTRIES", 2)
+    board = spark.createDataFrame([("x", 1.0, 1), ("y", 2.0, 2), ("z", 3.0, 3)], "m string, v double, o int")
+    with pytest.raises(ValueError):
+        combine.rank_in(spark.range(1).withColumn("v", F.lit(1.0)), "v", board, "v")
+
+
+def test_sentences_keep_brackets_and_slashes(spark):
+    df = spark.createDataFrame([("נאמר [כאן] או/גם (שם) latin @ 12. ועוד!",)], "t string")
+    assert df.select(text.sentences(F.col("t"))).first()[0] == ["נאמר [כאן] או/גם (שם) 12", "ועוד", ""]
+
+
+def test_rules_at_an_angle_and_upright_ones_go():
+    a = page(n=6)
+    x = np.arange(a.shape[1])
+    for k in range(6):
+        y = 50 + k * 60 + 40 + np.round(x * np.tan(np.radians(1.0))).astype(int)
+        a[np.clip(y, 0, a.shape[0] - 1), x] = 120
+    a[:, 40] = a[:, 41] = 110  # a rule at the margin
+    mask, _ = image.binarize(a)
+    left = image.without_rules(mask, 60.0)
+    assert left[:, 38:44].sum() < 0.1 * mask[:, 38:44].sum()
+    letters = page(n=6) < 100
+    assert (left & letters).sum() > 0.9 * (mask & letters).sum()
+    assert (left & ~letters).sum() < 0.35 * (mask & ~letters).sum()
+
+
+def test_lines_of_a_page_with_their_crops(spark):
+    a = page()
+    df = spark.createDataFrame([("a", bytearray(png(a))), ("b", None), ("c", bytearray(b"zz"))], "k string, c binary")
+    rows = image.page_lines(df, "k", "c").orderBy("line_no").collect()
+    assert {r.k for r in rows} == {"a"} and 6 <= len(rows) <= 12
+    assert all(len(r.pixels) == r.height * r.width and r.height > r.h and np.frombuffer(r.pixels, np.uint8).min() < 100 for r in rows)
+    assert image.padded_box((0, 0, 10, 100), 105, 12) == (0, 0, 12, 105) and image.padded_box((50, 50, 100, 100), 1000, 1000) == (45, 38, 110, 124)
+
+
+def test_settled_tables_are_given_back(spark):
+    from inkloom import session
+
+    t = session.settle(spark.range(3), "t")
+    assert t.count() == 3
+    session.release(t, spark.range(1))
+    assert not Path(t.settled_at).exists()
