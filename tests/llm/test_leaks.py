@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,21 +41,52 @@ def test_span_is_found_as_by_brute_force(line, data):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 50), max_size=40), st.lists(st.integers(0, 50), max_size=40), st.lists(st.integers(0, 9), min_size=6, max_size=6), st.integers(1, 5))
-def test_winnowing_keeps_a_print_of_every_long_run(a, b, shared, window):
-    # a run of `window` grams in both leaves a shared fingerprint
-    run = [100 + x for x in shared[:window]] + [200]
-    x, y = a + run + b, b + run + a
-    assert {h for h, _ in leaks.winnow(x, window)} & {h for h, _ in leaks.winnow(y, window)} & set(run)
-    assert leaks.winnow(x, 1) == [(h, i) for i, h in enumerate(x)]
-    assert len(leaks.winnow(x, window)) <= len(x)
+@given(st.lists(st.lists(st.integers(0, 9), max_size=20), max_size=5), st.integers(1, 5))
+def test_winnowing_keeps_the_least_of_every_window(owners, window):
+    key = np.array([k for o in owners for k in o], np.uint64)
+    owner = np.array([i for i, o in enumerate(owners) for _ in o], np.int64)
+    want, at = set(), 0
+    for o in owners:
+        for i in range(max(1, len(o) - window + 1)) if o else ():
+            part = o[i : i + window]
+            want.add(at + i + max(k for k, v in enumerate(part) if v == min(part)))
+        at += len(o)
+    assert leaks.winnow(key, owner, window).tolist() == sorted(want)
 
 
-def test_least_shared_is_never_more_than_a_span_shares():
-    for n in range(5, 60):
-        for span in range(leaks.needed(n), n + 1):
-            assert leaks.least_shared(n) <= span - 1 - 2 * (span // leaks.ONE_IN)
-    assert leaks.least_shared(5) == 2
+def sketch_of(lines):
+    rows = np.zeros((2, 1 << 16), np.int64)
+    h, text = leaks.hashes(lines)
+    for kind, distance in leaks.IN_LINES:
+        for row, places in zip(rows, leaks.Sketch.places(leaks.grams(h, text, kind, distance)[0], 16), strict=True):
+            np.add.at(row, places, 1)
+    return leaks.Sketch(leaks.Sketch.level(rows))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), min_size=5, max_size=5), st.lists(st.sampled_from("abcdefgh"), max_size=6), st.lists(st.sampled_from("abcdefghij"), max_size=6), st.integers(0, 4), st.sampled_from(["right", "wrong", "missing", "inserted"]), st.lists(st.lists(st.sampled_from("abcdefgh"), min_size=5, max_size=9), max_size=8))
+def test_no_span_of_five_words_with_one_error_goes_without_a_common_print(span, before, after, at, error, others):
+    # whatever is around it, whatever is common among the lines, and wherever the error is
+    line, said = before + span + after[::-1], list(span)
+    said[at : at + 1] = {"right": [span[at]], "wrong": ["zz"], "missing": [], "inserted": [span[at], "yy"]}[error]
+    text = after + said + before[::-1]
+    sketch = sketch_of([line, *others])
+    of_line = leaks.fingerprints([line], leaks.IN_LINES, sketch)
+    of_text = leaks.fingerprints([text], leaks.IN_TEXTS, sketch)
+    assert set(of_line[1].tolist()) & set(of_text[1].tolist())
+    assert 0 < len(of_line[1]) < sum(len(line) - d for _, d in leaks.IN_LINES) or len(line) < 7
+
+
+def test_the_sketch_counts_every_gram(spark):
+    rnd = random.Random(2)
+    lines = [words(rnd, rnd.randint(5, 9)) for _ in range(300)] + [["a", "b", "c", "d", str(k)] for k in range(50)]
+    sketch = leaks.sketched(spark.createDataFrame([(w,) for w in lines], "line_words array<string>").repartition(3))
+    h, text = leaks.hashes(lines)
+    for kind, distance in leaks.IN_LINES:
+        assert sketch.of(leaks.grams(h, text, kind, distance)[0]).min() > 0
+    common = leaks.grams(*leaks.hashes([["a", "b"]]), 0, 1)[0]
+    assert sketch.of(common)[0] >= leaks.Sketch.level(np.array([50]))[0]
+    assert (leaks.sketched(spark.createDataFrame([], "line_words array<string>")).rows == 0).all()
 
 
 def words(rnd, n):
@@ -95,3 +127,18 @@ def test_leaks(spark, classes):
     assert len(rows & want) >= len(want) - 2  # the longest span decides between two texts of a batch
     none = spark.createDataFrame([], "batch_id int, texts array<string>")
     assert leaks.leaks(spark, none, spark.createDataFrame(lines, "line_id string, text string"), classes).count() == 0
+
+
+def test_common_grams_are_spread_and_lose_nothing(spark, classes, monkeypatch):
+    # nearly every line and text has the same opening words
+    rnd = random.Random(9)
+    rest = [" ".join(words(rnd, 6)) for _ in range(300)]
+    lines = spark.createDataFrame([(f"l{k}", f"so it was {r}") for k, r in enumerate(rest)], "line_id string, text string")
+    texts = spark.createDataFrame([(k, [f"so it was {r} end", "so it was of old and then"]) for k, r in enumerate(rest)], "batch_id int, texts array<string>")
+    want = sorted((k, 0, f"l{k}", 9) for k in range(300))
+    seen = []
+    for hot in (4, 10**6):
+        monkeypatch.setattr(leaks, "HOT", hot)
+        got = leaks.leaks(spark, texts, lines, classes).select("batch_id", "text_no", "line_id", "n_words")
+        seen.append(sorted(map(tuple, got.collect())))
+    assert seen[0] == seen[1] and set(want) <= set(seen[0])
