@@ -26,9 +26,13 @@ from functools import lru_cache
 import ahocorasick
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkloom.functions.text import SAME
+from inkloom.session import settle
+
 # Letters of other scripts drawn like a Latin one, as "plain: others".
 LETTERS = """
 A: Α А; B: Β В; C: С Ϲ; E: Ε Е; H: Η Н; I: Ι І; J: Ј Ϳ; K: Κ К; M: Μ М Ϻ; N: Ν; O: Ο О;
@@ -37,11 +41,8 @@ i: і; j: ј ϳ; o: ο о; p: р; q: ԛ; s: ѕ; v: ν ѵ; w: ԝ; x: х; y: у
 """
 # Strings drawn like a single character, as "character: string".
 LIGATURES = "װ: וו; ױ: וי; ײ: יי; ֺ: ֹ"
-# The project's punctuation classes, "plain: others" (code points in hex).
-PUNCTUATION = """
-0027: 05F3 2018 2019 201A 201B 2032 00B4 0060 02BC 02B9; 0022: 05F4 201C 201D 201E 201F 2033 00AB 00BB;
-002D: 05BE 2010 2011 2012 2013 2014 2015 2212; 003A: 05C3 2236 A789; 007C: 05C0
-"""
+# Further characters of the look of a punctuation mark, beside those that scoring puts together.
+PUNCTUATION = [*((plain, others) for plain, others in SAME if plain != " "), ("'", "ʼʹ"), (":", "∶꞉")]
 TWO_APOSTROPHES, ELLIPSIS = ("''", '"'), ("…", "...")
 # Visible although of category Cf (Arabic, Syriac and Kaithi number and verse signs).
 VISIBLE_CF = [0x600, 0x601, 0x602, 0x603, 0x604, 0x605, 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD]
@@ -95,10 +96,7 @@ def fixed_pairs() -> list[tuple[str, str]]:
         plain, others = item.strip().split(": ")
         pairs += [(plain, x) for x in others.split()]
     pairs += [tuple(x.strip().split(": ")) for x in LIGATURES.split(";")]
-    for item in PUNCTUATION.split(";"):
-        plain, others = item.strip().split(": ")
-        pairs += [(chr(int(plain, 16)), chr(int(x, 16))) for x in others.split()]
-    return pairs
+    return pairs + [(plain, x) for plain, others in PUNCTUATION for x in others]
 
 
 class Lookalikes:
@@ -147,7 +145,7 @@ class Lookalikes:
 
         rules = {x: r for m in self.members for r in [best(m)] for x in m if x != r and x}
         # Patterns and representatives are themselves rewritten by the rules of their parts, so that rewriting ends in one form.
-        for _ in range(8):
+        for _ in range(64):
             single = {x: r for x, r in rules.items() if len(x) == 1}
             new: dict[str, str] = {}
             for x, r in rules.items():
@@ -159,6 +157,8 @@ class Lookalikes:
             if new == rules:
                 break
             rules = new
+        else:
+            raise ValueError("the classes lead to no single form")
         self.rules = rules
         self._start()
 
@@ -201,15 +201,16 @@ class Lookalikes:
             return self._end(text)
         if not characters <= self._met:
             self._meet(characters)
-        for _ in range(64):
+        most = len(text) + 64  # far more passes than any text takes: a run of n blanks, the slowest, takes log2(n)
+        for _ in range(most):
             parts, at = [], 0
             for end, (n, r) in self._automaton.iter_long(text):
                 parts += (text[at : end - n + 1], r)
                 at = end + 1
             if not parts:
-                break
+                return self._end(text)
             text = "".join(parts) + text[at:]
-        return self._end(text)
+        raise ValueError("the rewriting of a text doesn't end")
 
     @staticmethod
     def _end(text: str) -> str:
@@ -274,17 +275,45 @@ def with_form(spark: SparkSession, df: DataFrame, classes: Lookalikes, column: s
     return df.withColumn(into, one_form(spark, classes, F.col(column)))
 
 
+def spellings(spark: SparkSession, df: DataFrame, id_column: str, text_column: str, classes: Lookalikes) -> DataFrame:
+    """``(id, form, spelling)``: 128-bit hashes of the one form and of the text as it is, for every id with a text that isn't blank.
+
+    Each text is read and rewritten once; only ids and hashes go on.
+    """
+    shared = spark.sparkContext.broadcast(classes)  # bounded by the code points of Unicode
+    kind = df.schema[id_column].dataType.simpleString()
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, h = shared.value.rewrite, xxhash.xxh3_128_digest
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            forms = [f(t) for t in texts]
+            keep = pa.array([i for i, x in enumerate(forms) if x], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), pa.array([h(x) for x in forms if x], pa.binary()), pa.array([h(t) for t, x in zip(texts, forms, strict=True) if x], pa.binary())], names=["id", "form", "spelling"])
+
+    texts = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
+    return texts.mapInArrow(go, f"id {kind}, form binary, spelling binary")
+
+
+#: Ids of one spelling that are joined in one piece.
+PIECE = 4096
+
+
 def equal_looking(spark: SparkSession, df: DataFrame, id_column: str, text_column: str, classes: Lookalikes) -> DataFrame:
     """``(rec_a, rec_b)``, rec_a < rec_b: ids whose texts have one form but are different strings.
 
-    Forms with a single spelling are left out before the join, which runs on a
-    64-bit hash of the form and compares the forms themselves; rows of equal
-    spelling meet nobody of their own spelling.
+    Forms and texts are compared by 128-bit hashes. Not ids but the spellings of a form are paired,
+    so ids of one spelling never meet; each pair of spellings is then given its ids by two joins,
+    for which the ids of a spelling that very many have are cut into pieces.
     """
-    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull()).distinct()
-    rows = rows.withColumn("form", one_form(spark, classes, F.col("t"))).where("form <> ''")
-    rows = rows.select("id", F.md5("form").alias("form"), F.xxhash64("t").alias("spelling"))
-    several = rows.groupBy("form").agg((F.min("spelling") < F.max("spelling")).alias("several")).where("several").select("form")
-    rows = rows.join(several, "form", "left_semi")
-    a, b = rows.select("form", F.col("id").alias("rec_a"), F.col("spelling").alias("sa")), rows.select("form", F.col("id").alias("rec_b"), F.col("spelling").alias("sb"))
-    return a.join(b, "form").where("rec_a < rec_b and sa <> sb").select("rec_a", "rec_b").distinct()
+    rows = settle(spellings(spark, df, id_column, text_column, classes).distinct(), "spellings")
+    each = rows.groupBy("form", "spelling").agg(F.count(F.lit(1)).alias("n"))
+    several = each.groupBy("form").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("form")
+    each = each.join(several, "form").withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int")).drop("n")
+    ids = rows.join(each, ["form", "spelling"]).select("form", "spelling", "id", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"))
+    side = lambda x: each.select("form", F.col("spelling").alias(f"s{x}"), F.col("pieces").alias(f"n{x}"))
+    of = lambda x: ids.select("form", F.col("spelling").alias(f"s{x}"), F.col("piece").alias(f"p{x}"), F.col("id").alias(f"id_{x}"))
+    pieces = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pairs = side("a").join(side("b"), "form").where("sa < sb").withColumn("pa", pieces("na")).join(of("a"), ["form", "sa", "pa"])
+    pairs = pairs.select("form", "sb", "nb", "id_a").withColumn("pb", pieces("nb")).join(of("b"), ["form", "sb", "pb"]).where("id_a <> id_b")
+    return pairs.select(F.least("id_a", "id_b").alias("rec_a"), F.greatest("id_a", "id_b").alias("rec_b")).distinct()

@@ -70,3 +70,15 @@ def test_many_pairs_of_one_form(spark):
     # a hot form: half of all rows in one spelling, and one in another
     df = spark.createDataFrame([(i, "a-b" if i % 2 else f"t{i}") for i in range(2000)] + [(5000, "a–b")], "k int, t string")
     assert equal_looking(spark, df, "k", "t", standard(False)).count() == 1000
+
+
+def test_ids_of_hot_spellings_are_joined_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "PIECE", 7)
+    df = spark.createDataFrame([(i, "a-b" if i < 60 else "a–b" if i < 100 else "a־b") for i in range(110)], "k int, t string")
+    got = {tuple(r) for r in equal_looking(spark, df, "k", "t", standard(False)).collect()}
+    group = lambda i: 0 if i < 60 else 1 if i < 100 else 2
+    assert got == {(i, j) for i in range(110) for j in range(i + 1, 110) if group(i) != group(j)}
+
+
+def test_long_runs_of_blanks_end_in_one(spark):
+    assert standard(False).rewrite("a" + "  " * 200_000 + "b") == "a b"
