@@ -110,4 +110,4 @@ def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """``(spec_id, capacity_tokens, n_containers, n_pieces, n_tokens, fill)``: how full the containers of each capacity are."""
     containers = packed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("pieces"))
     total = containers.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("pieces").alias("n_pieces"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
-    return total.join(F.broadcast(specs.select("spec_id", "capacity_tokens").limit(MOST_CAPACITIES)), "spec_id").select("spec_id", "capacity_tokens", "n_containers", "n_pieces", "n_tokens", "fullest", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"))
+    return total.join(specs.select("spec_id", "capacity_tokens").distinct(), "spec_id").select("spec_id", "capacity_tokens", "n_containers", "n_pieces", "n_tokens", "fullest", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"))

@@ -70,10 +70,11 @@ def test_water_filling(sources, budget):
     reach = sum(limit[s] for s in sources if weight[s] > 0)
     assert all(q <= limit[s] + 1e-6 for s, q in got.items())
     assert abs(sum(got.values()) - min(budget, reach)) < 1e-6 * max(1, budget)
-    free = [q / weight[s] for s, q in got.items() if q < limit[s] - 1e-6]
-    assert not free or max(free) - min(free) < 1e-6 * max(1, max(free))
-    full = [q / weight[s] for s, q in got.items() if q >= limit[s] - 1e-6 and weight[s] > 1e-9]
-    assert not free or not full or max(full) <= max(free) * (1 + 1e-6) + 1e-6
+    # in proportion to the weights, multiplied out: the least of weights has quotients that no double holds
+    free = [(q, weight[s]) for s, q in got.items() if q < limit[s] - 1e-6]
+    full = [(q, weight[s]) for s, q in got.items() if q >= limit[s] - 1e-6]
+    assert all(abs(p * w - q * v) <= 1e-6 * max(1, p * w) for p, v in free for q, w in free)
+    assert all(p * w <= q * v * (1 + 1e-6) + 1e-6 for p, v in full for q, w in free)
 
 
 def test_mixture_shares_and_limits(spark):
@@ -99,3 +100,20 @@ def test_mixture_shares_and_limits(spark):
     assert {tuple(r) for r in mixing.mix(sized.repartition(5), targets).collect()} == {tuple(r) for r in rows}
     assert mixing.mix(sized.limit(0), targets).count() == 0
     assert mixing.mix(sized, targets.limit(0)).count() == 0
+
+
+def test_no_document_is_taken_more_often_than_allowed_however_many_are_empty(spark):
+    # a source clamped at its limit, half of its documents of size 0: nothing is left over for one of them
+    docs = [(i, "a", 0 if i % 2 else 10) for i in range(2000)] + [(9000 + i, "b", 10) for i in range(2000)]
+    sized = spark.createDataFrame(docs, "doc_id int, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.9, 2), ("b", 0.1, 2)], "source string, target_share double, max_repeats int")
+    for seed in range(3):
+        rows = mixing.mix(sized, targets, budget=30_000, seed=seed).collect()
+        assert max(r.repeats for r in rows if r.source == "a") == 2 and len([r for r in rows if r.source == "a"]) == 2000
+
+
+def test_fill_report_has_every_capacity(spark):
+    packed = packing.pack(spark.createDataFrame([(i, 3) for i in range(50)], "doc_id int, n_tokens bigint"), spark.createDataFrame([(k, 9 + k) for k in range(40)], "spec_id int, capacity int"))
+    specs = spark.createDataFrame([(k, 9 + k) for k in range(40)] * 2, "spec_id int, capacity_tokens int")
+    rows = packing.fill_report(packed, specs).collect()
+    assert len(rows) == 40 and all(r.n_tokens == 150 and r.fullest <= r.capacity_tokens for r in rows)
