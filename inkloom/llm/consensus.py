@@ -19,6 +19,7 @@ no rows. Other columns are not read.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm.lookalike import Lookalikes
-from inkloom.session import settle
+from inkloom.session import release, settle
 
 COUNTS = ("n", "same", "lost", "lost_same")
 #: Readers whose weights are sent to all tasks; with more of them the weights are joined to the reads.
 MOST_SENT = 100_000
+#: Pairs of readers that a task counts before it gives them out.
+MOST_PAIRS = 200_000
 VOTES = "line_id string, stored string, readers array<string>, forms array<string>"
 
 
@@ -62,10 +65,17 @@ def votes(spark: SparkSession, lines: DataFrame, classes: Lookalikes) -> DataFra
 
 def agreements(voted: DataFrame) -> DataFrame:
     """``(i, j, n, same, lost, lost_same)``: for readers i < j the lines both read, those where they agree, and the same of
-    lines where both lost against a text of two readers or more. Counted in each batch, then summed."""
+    lines where both lost against a text of two readers or more. Counted in each task, given out whenever ``MOST_PAIRS`` are
+    reached, then summed."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([*(pa.array([k[x] for k in n], pa.string()) for x in (0, 1)), *(pa.array([c[x] for c in n.values()], pa.int64()) for x in range(4))], names=["i", "j", *COUNTS])
+            n.clear()
+            return out
+
         for b in batches:
             for readers, forms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = sorted(zip(readers, forms, strict=True))
@@ -77,7 +87,9 @@ def agreements(voted: DataFrame) -> DataFrame:
                         c[1] += x == y
                         c[2] += lost
                         c[3] += lost and x == y
-        yield pa.RecordBatch.from_arrays([*(pa.array([k[x] for k in n], pa.string()) for x in (0, 1)), *(pa.array([c[x] for c in n.values()], pa.int64()) for x in range(4))], names=["i", "j", *COUNTS])
+                    if len(n) > MOST_PAIRS:
+                        yield flush()
+        yield flush()
 
     return voted.select("readers", "forms").mapInArrow(go, "i string, j string, n bigint, same bigint, lost bigint, lost_same bigint").groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
@@ -103,7 +115,9 @@ def reliabilities(voted: DataFrame) -> DataFrame:
     readers = voted.select(F.explode("readers").alias("reader_id")).groupBy("reader_id").agg(F.count(F.lit(1)).alias("n_reads"))
     mean = found.agg(F.avg("p").alias("mean"))
     p = F.least(F.greatest(F.coalesce("p", "mean", F.lit(0.5)), F.lit(0.01)), F.lit(0.99))
-    return readers.join(found, "reader_id", "left").crossJoin(F.broadcast(mean)).select("reader_id", "n_reads", p.alias("reliability"), F.greatest(F.log(p / (1 - p)), F.lit(0.0)).alias("weight"))
+    out = settle(readers.join(found, "reader_id", "left").crossJoin(F.broadcast(mean)).select("reader_id", "n_reads", p.alias("reliability"), F.greatest(F.log(p / (1 - p)), F.lit(0.0)).alias("weight")), "readers")
+    release(one, pairs)
+    return out
 
 
 def weighed(voted: DataFrame, readers: DataFrame) -> DataFrame:
@@ -126,14 +140,14 @@ def weighed(voted: DataFrame, readers: DataFrame) -> DataFrame:
 def decide(weighted: DataFrame) -> DataFrame:
     """``(line_id, stored, consensus, n_reads, support, agreement, rival)`` of each line.
 
-    ``support`` is the consensus' part of all weight, ``agreement`` the part of the pairs
+    Texts are in their one form, composed. ``support`` is the consensus' part of all weight, ``agreement`` the part of the pairs
     of reads that are equal. ``rival`` is a text of two readers or more that has more
     weight than the stored text, if there is one.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("consensus", "n_reads", "support", "agreement", "rival")}
+            out: dict[str, list] = {k: [] for k in ("stored", "consensus", "n_reads", "support", "agreement", "rival")}
             for stored, forms, weights in zip(*(b.column(x).to_pylist() for x in ("stored", "forms", "weights")), strict=True):
                 weight: dict[str, list[float]] = defaultdict(list)
                 for x, w in zip(forms, weights, strict=True):
@@ -143,9 +157,10 @@ def decide(weighted: DataFrame) -> DataFrame:
                 best = min(total, key=rank, default=None)
                 n, all_ = len(forms), math.fsum(weights)
                 rivals = [x for x, w in weight.items() if len(w) > 1 and x != stored and total[x] > total.get(stored, 0.0) + 1e-9]
-                for k, v in (("consensus", best), ("n_reads", n), ("support", total[best] / all_ if best is not None and all_ else None), ("agreement", sum(len(w) * (len(w) - 1) for w in weight.values()) / (n * (n - 1)) if n > 1 else None), ("rival", min(rivals, key=rank, default=None))):
+                composed = lambda t: None if t is None else unicodedata.normalize("NFC", t)
+                for k, v in (("stored", composed(stored)), ("consensus", composed(best)), ("n_reads", n), ("support", total[best] / all_ if best is not None and all_ else None), ("agreement", sum(len(w) * (len(w) - 1) for w in weight.values()) / (n * (n - 1)) if n > 1 else None), ("rival", composed(min(rivals, key=rank, default=None)))):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([b.column("line_id"), b.column("stored"), *(pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string()), strict=True))], names=["line_id", "stored", *out])
+            yield pa.RecordBatch.from_arrays([b.column("line_id"), *(pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string()), strict=True))], names=["line_id", *out])
 
     return weighted.mapInArrow(go, "line_id string, stored string, consensus string, n_reads int, support double, agreement double, rival string")
 
@@ -153,5 +168,5 @@ def decide(weighted: DataFrame) -> DataFrame:
 def consensus(spark: SparkSession, lines: DataFrame, classes: Lookalikes) -> tuple[DataFrame, DataFrame]:
     """The decisions by line and the reliabilities by reader."""
     voted = settle(votes(spark, lines, classes), "votes")
-    readers = settle(reliabilities(voted), "readers")
+    readers = reliabilities(voted)
     return decide(weighed(voted, readers)), readers

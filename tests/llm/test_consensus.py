@@ -72,3 +72,11 @@ def test_all_triplets_count(spark):
         jk = [(j, k) for j, k in m if i not in (j, k)]
         p = (sum(both[i, j] * both[i, k] * m[j, k] for j, k in jk) / sum(m[x] ** 2 for x in jk)) ** 0.5 + 0.1
         assert abs(got[i] - p) < 1e-9
+
+
+def test_pairs_of_readers_are_given_out_before_they_grow(spark, classes, monkeypatch):
+    rows = [(str(k), "t", ["t"] * 30, [f"r{k}-{i}" for i in range(30)], 0.0) for k in range(40)]
+    voted = settle(consensus.votes(spark, spark.createDataFrame(rows, SCHEMA), classes))
+    one = sorted(map(tuple, consensus.agreements(voted).collect()))
+    monkeypatch.setattr(consensus, "MOST_PAIRS", 50)
+    assert sorted(map(tuple, consensus.agreements(voted).collect())) == one and len(one) == 40 * 30 * 29 // 2
