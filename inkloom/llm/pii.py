@@ -1,13 +1,16 @@
 """Personal information in free text: bootstrapped contextual extraction, and typed placeholders.
 
-Seed entities (listed names; streets named after a street word) induce lexical
-patterns: the words to the left and right of a full name, the other name it stands
-with, the template of a short line, the town after a house number. Each round scans
-the texts for what stands in those patterns, Spark scores the graph of patterns and
-instances, and what high-confidence patterns support well becomes a seed of the next
-round. The names, line templates, streets and towns learned in this way then find the
-identifiers of all texts; e-mail addresses, phone and identity numbers have a grammar
-of their own, identity numbers also a check digit.
+Seed entities (listed names; streets named after a street word; numbers of a known
+shape) induce lexical patterns: the words to the left and right of a full name, the other
+name it stands with, what a line has around a given name, the town after a house number,
+the word before a number. Spark scores the graph of patterns and instances, and what
+high-confidence patterns support well becomes a seed of the next round, until a round
+brings nothing new. A later round goes only through texts that have a new name and
+corrects the counts by what has changed there. The names, line templates, streets, towns
+and number labels learned in this way then find the identifiers of all texts: numbers of
+unseen shapes behind a label of phone numbers are phone numbers, and nine digits behind a
+label whose numbers pass the check digit no more often than by chance are no identity
+numbers. E-mail addresses have a grammar of their own.
 
 Texts are compared in a folded spelling (look-alikes, vowel points, invisible
 characters, letter case); positions are those of the text as it is stored.
@@ -23,22 +26,26 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
+import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm.lookalike import Lookalikes
-from inkloom.session import settle
+from inkloom.session import release, settle
 
-ROUNDS = 3
 #: Names, streets and towns together that may be learned; they are sent to all tasks.
 MOST_LEARNED = 1_000_000
 #: An instance needs so many different partners, such a mean confidence of its patterns, and may stand just outside of full names in such a part of its windows.
 PARTNERS, SUPPORT, OUTSIDE = 3, 0.25, 0.15
+#: A label stands before numbers in such a part of its occurrences; its numbers are so surely phone numbers; nine-digit numbers seen behind a label, and the part of them with a right check digit that is no more than chance.
+LABEL_SURE, LABEL_SEEN, LABEL_CHANCE, LABEL_SHARE = 0.9, 20, 0.2, 0.2
 #: The part of a word's occurrences that must be in name windows.
 SHARE = {"family": 0.2, "given": 0.05}
 
@@ -46,7 +53,7 @@ SHARE = {"family": 0.2, "given": 0.05}
 STREET_WORDS = ["רחוב", "רח'", "סמטת", "דרך", "שדרות", "שד'"]
 ENGLISH_STREETS = "Lane|Road|Rd|Street|St|Close|Avenue|Ave|Row|Way|Court|Drive|Place|Hill|Square|Crescent|Terrace|Gardens|Boulevard|Blvd"
 # Hebrew letters that are written together with the word after them.
-PREFIXES = "ולמבשכה"
+PREFIXES, JOINING = "ולמבשכה", "ושכ"
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[IDNUM]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|[\n\t]")
@@ -60,6 +67,10 @@ MAILBOX = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._+-")
 AT = re.compile(r"@|[\[({] ?at ?[\])}]| at (?=[a-z0-9\-]+ (?:dot|\[dot\]) )|שטרודל|כרוכית")
 ADDRESS = re.compile(r"(?<![א-ת'])(?:[ולמבשכה]{0,2})(" + "|".join(STREET_WORDS) + r") ([א-ת]{2,}(?: [א-ת]{2,}){0,2}) (?:מס' )?(\d{1,4})(?!\d)(/\d+)?")
 REST = re.compile(r"(?: דירה \d+)?(?:, ?כניסה [א-ת]'?)?(?:, ?קומה [א-ת\d]+)?")
+HOUSE = re.compile(r" (?:מס' )?\d{1,4}(?!\d)(?:/\d+)?")
+#: The word before a number on the same line, and a number of any shape.
+LABEL = re.compile(r"([^\W\d_]{2,})['\".:#\- ]*$")
+NUMBER = re.compile(r"\+?\(?\d[\d()+. \-]*\d")
 POSTCODE = re.compile(r" \d{5,7}(?![-. ]?\d)")
 TOWN = re.compile(r", ?([א-ת]{2,}(?:[ -][א-ת]{2,}){0,2})")
 ENGLISH = re.compile(r"(?<![\w/])(?:Flat \d+[A-Za-z]?, ?)?\d{1,5}(?:/\d+)?[A-Za-z]? (?:[A-Z][A-Za-z'\-]+ ){1,3}(?:" + ENGLISH_STREETS + r")\b\.?")
@@ -107,11 +118,26 @@ class Known:
     templates: set[str] = field(default_factory=set)
     streets: set[str] = field(default_factory=set)
     towns: set[str] = field(default_factory=set)
+    phone_labels: set[str] = field(default_factory=set)
+    no_id_labels: set[str] = field(default_factory=set)
 
-    def anchors(self) -> set[str]:
-        names = self.given | self.family
-        hebrew = {n for n in names if "א" <= n[:1] <= "ת"}
-        return names | {p + n for n in names for p in PREFIXES} | {p + q + n for n in hebrew for p in "ושכ" for q in PREFIXES}
+    def names(self) -> set[str]:
+        return self.given | self.family
+
+
+def anchored(word: str, names: set[str]) -> bool:
+    """Whether the word is a name of the set, or one behind the prefix letters that it can be written together with."""
+    if word in names:
+        return True
+    if word[1:] in names and word[0] in PREFIXES:
+        return True
+    return word[2:] in names and word[0] in JOINING and word[1] in PREFIXES and "א" <= word[2] <= "ת"
+
+
+def places(tokens: list[str], names: set[str]) -> list[int]:
+    """Where the tokens have a name of the set, with or without prefix letters; no list of all spellings is needed."""
+    hits = {t for t in set(tokens) if (t in names or t[1:] in names or t[2:] in names) and anchored(t, names)}
+    return [i for i, t in enumerate(tokens) if t in hits] if hits else []
 
 
 def stem(word: str, names: set[str]) -> int:
@@ -132,46 +158,71 @@ def is_word(t: str) -> bool:
     return len(t) > 1 and t.isalpha()
 
 
-def windows(tokens: list[str], known: Known, anchors: set[str], out: Counter) -> None:
-    """Counts what stands in name windows: (kind, word, partner, left, right); kind is pos, given or family."""
+def windows(tokens: list[str], known: Known, where: list[int], out: Counter, by: int = 1) -> None:
+    """Counts what stands in name windows: (kind, word, partner, left, right); kind is pos, given or family. ``by`` is what one is counted as."""
     given, family, n = known.given, known.family, len(tokens)
     at = lambda i: tokens[i] if 0 <= i < n else "\n"
-    for i in [i for i, t in enumerate(tokens) if t in anchors]:
+    for i in where:
         t = tokens[i]
         f = stem(t, family)
         if f >= 0:
             name, left, right = t[f:], at(i - 1), at(i + 1)
             left_given, right_given = stem(left, given) if f == 0 else -1, right in given
             if left_given >= 0:
-                out["pos", left[left_given:], name, boundary(tokens, i - 2) if not left_given else left[:left_given] + "_", boundary(tokens, i + 1)] += 1
+                out["pos", left[left_given:], name, boundary(tokens, i - 2) if not left_given else left[:left_given] + "_", boundary(tokens, i + 1)] += by
             elif right_given:
-                out["pos", right, name, boundary(tokens, i - 1) if not f else t[:f] + "_", boundary(tokens, i + 2)] += 1
+                out["pos", right, name, boundary(tokens, i - 1) if not f else t[:f] + "_", boundary(tokens, i + 2)] += by
             elif left not in "-'." or left == "\n":
                 if f == 0 and is_word(left):
-                    out["given", left, name, boundary(tokens, i - 2), boundary(tokens, i + 1)] += 1
+                    out["given", left, name, boundary(tokens, i - 2), boundary(tokens, i + 1)] += by
                 if is_word(right):
-                    out["given", right, name, boundary(tokens, i - 1), boundary(tokens, i + 2)] += 1
+                    out["given", right, name, boundary(tokens, i - 1), boundary(tokens, i + 2)] += by
             continue
         g = stem(t, given)
         name, left, right = t[g:], at(i - 1), at(i + 1)
         if stem(right, family) == 0 or g == 0 and stem(left, family) >= 0 or right in given:
             continue
         if is_word(right):
-            out["family", right, name, boundary(tokens, i - 1) if not g else t[:g] + "_", boundary(tokens, i + 2)] += 1
+            out["family", right, name, boundary(tokens, i - 1) if not g else t[:g] + "_", boundary(tokens, i + 2)] += by
         if g == 0 and is_word(left):
-            out["family", left, name, boundary(tokens, i - 2), boundary(tokens, i + 1)] += 1
+            out["family", left, name, boundary(tokens, i - 2), boundary(tokens, i + 1)] += by
+
+
+def template(around: str) -> str:
+    """The key of what a line has around a word, from its beginning to its end; ``_`` stands for the word."""
+    return xxhash.xxh3_64_hexdigest(around)
+
+
+def line_at(tokens: list[str], i: int) -> tuple[list[str], int]:
+    """The line that the token at i is in, and the token's place in it."""
+    a = i
+    while a and tokens[a - 1] != "\n":
+        a -= 1
+    b = i + 1
+    while b < len(tokens) and tokens[b] != "\n":
+        b += 1
+    return tokens[a:b], i - a
+
+
+def alone(tokens: list[str], where: list[int]) -> list[int]:
+    """Those of the ascending places with no other on their line."""
+    ends = [-1, *(i for i, t in enumerate(tokens) if t == "\n"), len(tokens)] if where else []
+    lines = Counter(bisect_left(ends, i) for i in where)
+    return [i for i in where if lines[bisect_left(ends, i)] == 1]
 
 
-def templates(line: str) -> Iterator[tuple[str, str]]:
-    """(template, filler) of each word of a short line without numbers."""
-    tokens = TOKEN.findall(line)
-    if not 0 < sum(map(is_word, tokens)) <= 3 or len(tokens) > 7 or any(t.isdigit() for t in tokens):
-        return
-    for i, t in enumerate(tokens):
-        if is_word(t):
-            yield " ".join([*tokens[:i], "_", *tokens[i + 1 :]]), t
-            if t[0] == "ל" and len(t) > 2:
-                yield " ".join([*tokens[:i], "ל_", *tokens[i + 1 :]]), t[1:]
+def fillings(line: list[str], i: int) -> list[tuple[str, str]]:
+    """(template, filler) of the word at i of a line: the word itself, and what follows a ``ל`` (to) that it begins with."""
+    if not is_word(line[i]) or any(t.isdigit() for t in line):
+        return []
+    w, around = line[i], lambda mark: template(" ".join([*line[:i], mark, *line[i + 1 :]]))
+    return [(around("_"), w)] + ([(around("ל_"), w[1:])] if w[0] == "ל" and len(w) > 2 else [])
+
+
+def label(low: str, at: int) -> str:
+    """The word before a number on its line, '' if there is none."""
+    m = LABEL.search(low, max(0, at - 40), at)
+    return m[1] if m else ""
 
 
 def count_town(total: Counter, words: str, partner: str) -> None:
@@ -184,13 +235,16 @@ def count_town(total: Counter, words: str, partner: str) -> None:
 ROWS = "kind string, word string, partner string, l string, r string, n bigint"
 
 
-def scan(texts: DataFrame, folding: Folding, known: Known, first: bool) -> DataFrame:
-    """What the texts have in the patterns of what is known; the first time also all words, templates and streets. Counted in each task, then summed."""
-    shared = texts.sparkSession.sparkContext.broadcast((folding, known))
+#: Counts that a task holds before it gives them out.
+MOST_HELD = 200_000
+
+
+def counted(texts: DataFrame, shared: object, count: Callable[[object, str, Counter, Counter], None]) -> DataFrame:
+    """The sums of what ``count`` counts in each text (and of words, by themselves): within a task first, given out whenever ``MOST_HELD`` counts are held."""
+    sent = texts.sparkSession.sparkContext.broadcast(shared)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folding, known = shared.value
-        anchors, total, words = known.anchors(), Counter(), Counter()
+        total, words = Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
             total.update({("word", t, "", "", ""): k for t, k in words.items() if is_word(t)})
@@ -202,30 +256,97 @@ def scan(texts: DataFrame, folding: Folding, known: Known, first: bool) -> DataF
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                plain = folded(folding, text)
-                low = lowered(plain)
-                tokens = TOKEN.findall(low)
-                windows(tokens, known, anchors, total)
-                if first:
-                    words.update(tokens)
-                    for line in low.split("\n"):
-                        if len(line) < 80:
-                            for template, filler in templates(line):
-                                total["line", filler, template, "", ""] += 1
-                    for m in ADDRESS.finditer(low) if any(w in low for w in STREET_WORDS) else ():
-                        rest = REST.match(low, m.end())
-                        town = TOWN.match(low, rest.end())
-                        total["street", m[2], m[3], "", ""] += 1
-                        if town:
-                            count_town(total, town[1], m[2])
-                    for m in ENGLISH.finditer(plain) if plain != low else ():
-                        if town := ENGLISH_TOWN.match(plain, m.end()):
-                            count_town(total, town[1].lower(), m[0].lower())
-            if len(total) + len(words) > 200_000:
-                yield flush()
+                count(sent.value, text, total, words)
+                if len(total) + len(words) > MOST_HELD:
+                    yield flush()
         yield flush()
 
-    return texts.mapInArrow(go, ROWS).groupBy("kind", "word", "partner", "l", "r").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(go, ROWS)
+
+
+def first_scan(texts: DataFrame, folding: Folding, known: Known) -> DataFrame:
+    """What the texts have in the patterns of the seeds: words, name windows, lines around seed names, streets, towns and labels of numbers."""
+
+    def count(shared: tuple, text: str, total: Counter, words: Counter) -> None:
+        folding, known, names, finder = shared
+        plain = folded(folding, text)
+        low = lowered(plain)
+        tokens = TOKEN.findall(low)
+        words.update(tokens)
+        where = places(tokens, names)
+        windows(tokens, known, where, total)
+        for i in alone(tokens, where):
+            line, j = line_at(tokens, i)
+            for key, filler in fillings(line, j):
+                if filler in known.given:
+                    total["line", filler, key, str(len(line)), ""] += 1
+        for m in ADDRESS.finditer(low) if any(w in low for w in STREET_WORDS) else ():
+            rest = REST.match(low, m.end())
+            town = TOWN.match(low, rest.end())
+            total["street", m[2], m[3], "", ""] += 1
+            if town:
+                count_town(total, town[1], m[2])
+        for m in ENGLISH.finditer(plain) if plain != low else ():
+            if town := ENGLISH_TOWN.match(plain, m.end()):
+                count_town(total, town[1].lower(), m[0].lower())
+        for kind, a, b, digits in finder.shapes(low):
+            if (word := label(low, a)) and (kind != "other" or len(digits) >= 7):
+                total["label", word, digits, kind, ""] += 1
+
+    summed = counted(texts, (folding, known, known.names(), Finder(known)), count)
+    return summed.groupBy("kind", "word", "partner", "l", "r").agg(F.sum("n").alias("n"))
+
+
+def later_scan(texts: DataFrame, folding: Folding, old: Known, new: Known, candidates: dict[str, int]) -> DataFrame:
+    """The changes to the name windows where texts have a new name, and the fillers of the candidate templates (key to length) in all lines."""
+
+    def count(shared: tuple, text: str, total: Counter, words: Counter) -> None:
+        folding, old, new, added, keys, longest = shared
+        low = lowered(folded(folding, text))
+        if added and added.search(low):
+            tokens = TOKEN.findall(low)
+            if places(tokens, added.names):
+                windows(tokens, new, places(tokens, new.names()), total)
+                windows(tokens, old, places(tokens, old.names()), total, -1)
+        for line in low.split("\n") if keys else ():
+            # a line has as many tokens as blank-separated pieces at least
+            if len(line.split(None, longest)) <= longest and len(tokens := TOKEN.findall(line)) <= longest:
+                for i in range(len(tokens)):
+                    for key, filler in fillings(tokens, i):
+                        if key in keys:
+                            total["fill", filler, key, "", ""] += 1
+
+    added = new.names() - old.names()
+    return counted(texts, (folding, old, new, Words(added) if added else None, candidates, max(candidates.values(), default=0)), count)
+
+
+class Words:
+    """An automaton that tells whether a text has any of many words, at the cost of one pass over the text."""
+
+    def __init__(self, names: set[str]) -> None:
+        self.names = names
+        self._start()
+
+    def _start(self) -> None:
+        self._automaton = ahocorasick.Automaton()
+        for n in self.names:
+            self._automaton.add_word(n, len(n))
+        self._automaton.make_automaton()
+
+    def __getstate__(self) -> set[str]:
+        return self.names
+
+    def __setstate__(self, names: set[str]) -> None:
+        self.names = names
+        self._start()
+
+    def search(self, text: str) -> bool:
+        return next(self._automaton.iter(text), None) is not None
+
+    def found(self, text: str) -> Iterator[tuple[int, int]]:
+        """(start, end) of every occurrence of every word."""
+        for end, n in self._automaton.iter(text):
+            yield end - n + 1, end + 1
 
 
 def score(found: DataFrame, words: DataFrame, known_words: DataFrame) -> DataFrame:
@@ -248,43 +369,59 @@ def bounded(df: DataFrame) -> list:
     return rows
 
 
-def learn(spark: SparkSession, documents: DataFrame, names: DataFrame, classes: Lookalikes, rounds: int = ROUNDS) -> tuple[Known, Folding]:
-    """The names, line templates, streets and towns that the seeds lead to; only these go to the driver, up to a stated number."""
+def learn(spark: SparkSession, documents: DataFrame, names: DataFrame, classes: Lookalikes) -> tuple[Known, Folding]:
+    """The names, line templates, streets, towns and labels that the seeds lead to; only these go to the driver, up to a stated number."""
     folding, known = Folding(classes), Known()
     for r in bounded(names.where("name_text is not null and name_role in ('given', 'family')").select("name_role", "name_text").distinct()):
         word = lowered(fold(folding, r.name_text.strip())[0])
         if word:
             getattr(known, r.name_role).add(word)
     texts = documents.select("text").where("text is not null")
-    for k in range(rounds):
-        found = settle(scan(texts, folding, known, k == 0), "windows")
-        if k == 0:
-            words = settle(found.where("kind = 'word'").select("word", F.col("n").alias("total")), "words")
-            lines = found.where("kind = 'line'").select("word", F.col("partner").alias("template"), "n")
-            streets = found.where("kind = 'street'").groupBy("word").agg(F.count_distinct("partner").alias("k")).where(F.col("k") >= PARTNERS)
-            known.streets = {r.word for r in bounded(streets)}
-            towns = found.where("kind = 'town'").groupBy("word").agg(F.count_distinct("partner").alias("k"), F.sum("n").alias("n")).where(F.col("k") >= PARTNERS)
-            count = {r.word: r.n for r in bounded(towns)}
-            # Of a town and its beginnings the longest stands that loses less than half of the occurrences.
-            parent = {t: t.rpartition(" ")[0] for t in count}
-            longer = {parent[t] for t in count if parent[t] in count and count[t] >= 0.5 * count[parent[t]]}
-            known.towns = {t for t in count if t not in longer and (parent[t] not in count or count[t] >= 0.5 * count[parent[t]])}
-        before = spark.createDataFrame([(w,) for w in sorted(known.given | known.family)], "word string")
-        new = bounded(score(found, words, before))
-        role = {r.word: r.role for r in new}
-        names = known.given | known.family | role.keys()
+    found = settle(first_scan(texts, folding, known), "windows")
+    words = found.where("kind = 'word'").select("word", F.col("n").alias("total"))
+    streets = found.where("kind = 'street'").groupBy("word").agg(F.count_distinct("partner").alias("k")).where(F.col("k") >= PARTNERS)
+    known.streets = {r.word for r in bounded(streets)}
+    towns = found.where("kind = 'town'").groupBy("word").agg(F.count_distinct("partner").alias("k"), F.sum("n").alias("n")).where(F.col("k") >= PARTNERS)
+    count = {r.word: r.n for r in bounded(towns)}
+    # Of a town and its beginnings the longest stands that loses less than half of the occurrences.
+    parent = {t: t.rpartition(" ")[0] for t in count}
+    longer = {parent[t] for t in count if parent[t] in count and count[t] >= 0.5 * count[parent[t]]}
+    known.towns = {t for t in count if t not in longer and (parent[t] not in count or count[t] >= 0.5 * count[parent[t]])}
+    of = lambda kind: F.sum(F.when(F.col("l") == kind, F.col("n")).otherwise(0)) / F.sum("n")
+    labels = found.where("kind = 'label'").groupBy("word").agg(of("phone").alias("phone"), of("idnum").alias("idnum"), (F.sum(F.when(F.col("l").isin("idnum", "nine"), F.col("n")).otherwise(0))).alias("nine"), F.count_distinct(F.when(F.col("l") == "phone", F.col("partner"))).alias("phones"), F.sum("n").alias("n"), F.sum(F.when(F.col("l") == "idnum", F.col("n")).otherwise(0)).alias("ids"))
+    # A label is a word that stands before numbers more often than by the way, and no name.
+    labels = labels.join(words, "word").where(F.col("n") >= LABEL_SHARE * F.col("total"))
+    labels = labels.join(spark.createDataFrame([(w,) for w in sorted(known.names())], "word string"), "word", "left_anti")
+    known.phone_labels = {r.word for r in bounded(labels.where((F.col("phone") >= LABEL_SURE) & (F.col("phones") >= PARTNERS)).select("word"))}
+    known.no_id_labels = {r.word for r in bounded(labels.where((F.col("nine") >= LABEL_SEEN) & (F.col("ids") <= LABEL_CHANCE * F.col("nine"))).select("word"))}
+    # Lines are told apart by what at least two seed names fill; how else they are filled is counted in the next scan.
+    lines = found.where("kind = 'line'").groupBy("partner").agg(F.count_distinct("word").alias("k"), F.max(F.col("l").cast("int")).alias("length")).where("k >= 2")
+    candidates = {r.partner: r.length for r in bounded(lines.select("partner", "length"))}
+    fills, passing, changes = None, [], []
+    while True:
+        before = spark.createDataFrame([(w,) for w in sorted(known.names())], "word string")
+        role = {r.word: r.role for r in bounded(score(found, words, before))}
+        every, old = known.names() | role.keys(), known
+        known = replace(known, given=set(known.given), family=set(known.family))
         for word in role:
             # A name written together with a prefix isn't another name.
-            if not any(word[k:] in names and all(c in PREFIXES for c in word[:k]) for k in (1, 2)):
+            if not any(word[k:] in every and all(c in PREFIXES for c in word[:k]) for k in (1, 2)):
                 getattr(known, role[word]).add(word)
-        if not new:
+        if known.names() == old.names() and (fills is not None or not candidates):
             break
-    names = known.given | known.family
+        changed = settle(later_scan(texts, folding, old, known, candidates if fills is None else {}), "changes")
+        changes.append(changed)
+        fills = changed.where("kind = 'fill'") if fills is None else fills
+        both = found.unionByName(changed.where("kind <> 'fill'"))
+        passing.append(found)
+        found = settle(both.where("kind in ('pos', 'given', 'family')").groupBy("kind", "word", "partner", "l", "r").agg(F.sum("n").alias("n")).where("n <> 0"), "windows")
+    names = known.names()
     known.towns = {t for t in known.towns if names.isdisjoint(t.split(" "))}  # what follows a house number may also be a name
-    given = spark.createDataFrame([(w, 1) for w in sorted(known.given)], "word string, known int")
-    by_template = lines.join(given, "word", "left").groupBy("template").agg(F.count("known").alias("k"), (F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("part"))
-    good = bounded(by_template.where((F.col("k") >= PARTNERS) & (F.col("part") >= 0.3)).select("template"))
-    known.templates = {r.template for r in good if names.isdisjoint(r.template.split(" "))}
+    if fills is not None:
+        given = spark.createDataFrame([(w, 1) for w in sorted(known.given)], "word string, known int")
+        by_template = fills.join(given, "word", "left").groupBy("partner").agg(F.count_distinct(F.when(F.col("known") == 1, F.col("word"))).alias("k"), (F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("part"))
+        known.templates = {r.partner for r in bounded(by_template.where((F.col("k") >= PARTNERS) & (F.col("part") >= 0.3)).select("partner"))}
+    release(found, *passing, *changes)
     return known, folding
 
 
@@ -301,10 +438,8 @@ class Finder:
     """Finds the identifiers of a folded text with what is known."""
 
     def __init__(self, known: Known) -> None:
-        self.known, self.anchors = known, known.anchors()
-        self.families = Known(family=known.family).anchors()
-        streets = "|".join(map(re.escape, sorted(known.streets, key=lambda x: (-len(x), x))))
-        self.bare = re.compile(rf"(?<![א-ת'])({streets}) (?:מס' )?\d{{1,4}}(?!\d)(?:/\d+)?") if streets else None
+        self.known, self.all = known, known.names()
+        self.bare = Words(known.streets) if known.streets and known.towns else None
         self.word = re.compile(r"[^\W\d_]+")
 
     def town(self, low: str, at: int, shape: re.Pattern[str] = TOWN, text: str = "") -> int:
@@ -323,11 +458,13 @@ class Finder:
                 continue
             end = REST.match(low, m.end()).end()
             yield "address", m.start(1), max(end, self.town(low, end))
-        if self.bare and any(t in low for t in self.known.towns):
-            for m in self.bare.finditer(low):
-                end = REST.match(low, m.end()).end()
-                if (far := self.town(low, end)) > 0:
-                    yield "address", m.start(), far
+        # A street that was learned, without its street word, counts before a house number and a town that was learned.
+        done = 0
+        for a, b in sorted(self.bare.found(low), key=lambda x: (x[0], -x[1])) if self.bare else ():
+            if a >= done and (m := HOUSE.match(low, b)) and not (a and (low[a - 1] == "'" or "א" <= low[a - 1] <= "ת")):
+                done = m.end()
+                if (far := self.town(low, REST.match(low, m.end()).end())) > 0:
+                    yield "address", a, far
         for m in ENGLISH.finditer(text) if text != low else ():
             yield "address", m.start(), max(m.end(), self.town(low, m.end(), ENGLISH_TOWN, text))
 
@@ -344,35 +481,57 @@ class Finder:
             if found := EMAIL.match(low, at):
                 yield "email", at, found.end()
 
-    def numbers(self, low: str) -> Iterator[tuple[str, int, int]]:
+    def shapes(self, low: str) -> Iterator[tuple[str, int, int, str]]:
+        """(kind, start, end, digits) of every number: phone and idnum by shape and check digit, nine digits that fail it, and what else there is."""
         zones = [(z.start(), min(z.end() + 2, len(low))) for z in ZONE.finditer(low)]
         for a, b in zones:
+            seen = []
             for m in PHONE.finditer(low, a, b):
-                yield "phone", m.start(), m.end()
-        for a, b in zones:
+                seen.append((m.start(), m.end()))
+                yield "phone", m.start(), m.end(), re.sub(r"\D", "", m[0])
             for m in NINE.finditer(low, a, b):
-                if check_digit(re.sub(r"\D", "", m[1])):
-                    yield "idnum", m.start(1), m.end(1)
+                digits = re.sub(r"\D", "", m[1])
+                seen.append(m.span(1))
+                yield "idnum" if check_digit(digits) else "nine", m.start(1), m.end(1), digits
+            if not seen and (m := NUMBER.search(low, a, b)):
+                yield "other", m.start(), m.end(), re.sub(r"\D", "", m[0])
+
+    def numbers(self, low: str) -> Iterator[tuple[str, int, int]]:
+        found = list(self.shapes(low))
+        for kind, a, b, _ in found:
+            if kind == "phone":
+                yield kind, a, b
+        for kind, a, b, digits in found:
+            if kind == "idnum" and not (self.known.no_id_labels and label(low, a) in self.known.no_id_labels):
+                yield kind, a, b
+            elif kind == "other" and 7 <= len(digits) <= 15 and self.known.phone_labels and label(low, a) in self.known.phone_labels:
+                yield "phone", a, b
 
     def names(self, text: str, low: str) -> Iterator[tuple[str, int, int]]:
-        given, family, anchors = self.known.given, self.known.family, self.anchors
+        given, family = self.known.given, self.known.family
+        # The document's words that are names; only lines that have one of them are looked at word by word.
+        hits = {w for w in set(self.word.findall(low)) if (w in self.all or w[1:] in self.all or w[2:] in self.all) and anchored(w, self.all)}
+        if not hits:
+            return
+        families = {w for w in hits if anchored(w, family)}
         base = 0
         for line in low.split("\n"):
-            # But for the lone names of short lines every name has a family name in it.
-            words = self.word.findall(line)
-            if not self.families.isdisjoint(words):
+            # But for the lone names of whole lines every name has a family name in it.
+            if any(w in line for w in families):
                 spans = [(m.group(), base + m.start(), base + m.end()) for m in self.word.finditer(line)]
-                yield from self.in_line(low, text, spans, given, family, anchors)
-            if len(line) < 80 and not anchors.isdisjoint(words):
-                for template, filler in templates(line):
-                    if filler in given and template in self.known.templates:
-                        at = base + line.find(filler)
-                        if "ל_" in template and line.find("ל" + filler) >= 0:
-                            at = base + line.find("ל" + filler) + 1
-                        yield "name", at, at + len(filler)
+                yield from self.in_line(low, text, spans, given, family)
+            if self.known.templates and any(w in line for w in hits):
+                tokens = [(m.group(), base + m.start()) for m in TOKEN.finditer(line)]
+                names = [i for i, (t, _) in enumerate(tokens) if t in hits]
+                if len(names) == 1:
+                    t, at = tokens[names[0]]
+                    for key, filler in fillings([t for t, _ in tokens], names[0]):
+                        if filler in given and key in self.known.templates:
+                            yield "name", at + len(t) - len(filler), at + len(t)
+                            break
             base += len(line) + 1
 
-    def in_line(self, low: str, text: str, spans: list, given: set[str], family: set[str], anchors: set[str]) -> Iterator[tuple[str, int, int]]:
+    def in_line(self, low: str, text: str, spans: list, given: set[str], family: set[str]) -> Iterator[tuple[str, int, int]]:
         n, done = len(spans), -1
         gap = lambda i: low[spans[i][2] : spans[i + 1][1]] if i + 1 < n else "\n"
 
@@ -394,7 +553,7 @@ class Finder:
                 done = whole_family(i + 1)
                 yield "name", a + len(w) - 1, spans[done][2]
                 continue
-            if w not in anchors:
+            if not anchored(w, self.all):
                 continue
             if (k := stem(w, given)) >= 0:
                 j = i
