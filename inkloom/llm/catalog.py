@@ -19,9 +19,7 @@ def gold_classes(spark: SparkSession, d: str) -> lookalike.Lookalikes:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    classes = gold_classes(spark, d)
-    lines = lookalike.equal_looking(spark, table(spark, d, "gold_lines"), "line_id", "text", classes)
-    return lines.unionByName(lookalike.equal_looking(spark, table(spark, d, "gold_pages"), "page_id", "page_text", classes))
+    return lookalike.equal_looking(spark, [(table(spark, d, "gold_lines"), "line_id", "text"), (table(spark, d, "gold_pages"), "page_id", "page_text")], gold_classes(spark, d))
 
 
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:

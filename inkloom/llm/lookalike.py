@@ -21,7 +21,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import pandas as pd
@@ -250,11 +250,8 @@ def learn(texts: list[tuple[DataFrame, str]], keep_breaks: bool = True) -> Looka
 
     The driver gets one row a distinct code point (bounded by Unicode, not by the data).
     """
-    parts = [inventory(df, c) for df, c in texts]
-    all_parts = parts[0]
-    for p in parts[1:]:
-        all_parts = all_parts.unionByName(p)
-    counts = {r.symbol: r.n for r in all_parts.groupBy("symbol").agg(F.sum("n").alias("n")).collect()}
+    every = reduce(DataFrame.unionByName, [df.select(F.col(c).alias("t")) for df, c in texts])
+    counts = {r.symbol: r.n for r in inventory(every, "t").collect()}
     return Lookalikes((s for s in counts if len(s) == 1), counts, keep_breaks)
 
 
@@ -275,38 +272,39 @@ def with_form(spark: SparkSession, df: DataFrame, classes: Lookalikes, column: s
     return df.withColumn(into, one_form(spark, classes, F.col(column)))
 
 
-def spellings(spark: SparkSession, df: DataFrame, id_column: str, text_column: str, classes: Lookalikes) -> DataFrame:
-    """``(id, form, spelling)``: 128-bit hashes of the one form and of the text as it is, for every id with a text that isn't blank.
+def spellings(spark: SparkSession, tables: list[tuple[DataFrame, str, str]], classes: Lookalikes) -> DataFrame:
+    """``(id, form, spelling)``: 128-bit hashes of the one form (which tells the tables apart too) and of the text as it is, for every id with a text that isn't blank.
 
-    Each text is read and rewritten once; only ids and hashes go on.
+    ``tables`` are (table, column of ids, column of texts), ids of one type. Each text is read and rewritten once; only ids and hashes go on.
     """
     shared = spark.sparkContext.broadcast(classes)  # bounded by the code points of Unicode
-    kind = df.schema[id_column].dataType.simpleString()
+    kind = tables[0][0].schema[tables[0][1]].dataType.simpleString()
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, h = shared.value.rewrite, xxhash.xxh3_128_digest
         for b in batches:
             texts = b.column(1).to_pylist()
             forms = [f(t) for t in texts]
-            keep = pa.array([i for i, x in enumerate(forms) if x], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), pa.array([h(x) for x in forms if x], pa.binary()), pa.array([h(t) for t, x in zip(texts, forms, strict=True) if x], pa.binary())], names=["id", "form", "spelling"])
+            keep = [i for i, x in enumerate(forms) if x]
+            no = b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([h(f"{no[i]} {forms[i]}") for i in keep], pa.binary()), pa.array([h(texts[i]) for i in keep], pa.binary())], names=["id", "form", "spelling"])
 
-    texts = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
-    return texts.mapInArrow(go, f"id {kind}, form binary, spelling binary")
+    each = [df.select(F.col(i).alias("id"), F.col(t).alias("t"), F.lit(no).alias("no")) for no, (df, i, t) in enumerate(tables)]
+    return reduce(DataFrame.unionByName, each).where("id is not null and t is not null").mapInArrow(go, f"id {kind}, form binary, spelling binary")
 
 
 #: Ids of one spelling that are joined in one piece.
 PIECE = 4096
 
 
-def equal_looking(spark: SparkSession, df: DataFrame, id_column: str, text_column: str, classes: Lookalikes) -> DataFrame:
-    """``(rec_a, rec_b)``, rec_a < rec_b: ids whose texts have one form but are different strings.
+def equal_looking(spark: SparkSession, tables: list[tuple[DataFrame, str, str]], classes: Lookalikes) -> DataFrame:
+    """``(rec_a, rec_b)``, rec_a < rec_b: ids of one table whose texts have one form but are different strings.
 
     Forms and texts are compared by 128-bit hashes. Not ids but the spellings of a form are paired,
     so ids of one spelling never meet; each pair of spellings is then given its ids by two joins,
     for which the ids of a spelling that very many have are cut into pieces.
     """
-    rows = settle(spellings(spark, df, id_column, text_column, classes).distinct(), "spellings")
+    rows = settle(spellings(spark, tables, classes).distinct(), "spellings")
     each = rows.groupBy("form", "spelling").agg(F.count(F.lit(1)).alias("n"))
     several = each.groupBy("form").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("form")
     each = each.join(several, "form").withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int")).drop("n")
