@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkloom.plans.pagexml_sql import SQL  # noqa: F401
 from inkloom.sources import pagexml
 
 
