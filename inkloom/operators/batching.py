@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkloom.sources.readers import number
+
 POOL = 4096
 
 
@@ -35,7 +37,7 @@ def budget_batches(rows: DataFrame, key: str, width: str, budget: int, most: int
         pdf = pdf.sort_values(["w", "k"], kind="stable")
         return pdf.assign(batch_no=pack(pdf.w.tolist(), budget, most))[["k", "w", "pool_no", "batch_no"]]
 
-    salted = good.withColumn("pool_no", F.pmod(F.xxhash64(F.lit(seed), "k", "w"), F.lit(pools)).cast("int"))
+    salted = good.withColumn("pool_no", (number(seed, F.col("k")) % pools).cast("int"))
     return salted.groupBy("pool_no").applyInPandas(go, f"k {kind}, w bigint, pool_no int, batch_no int").withColumnsRenamed({"k": key, "w": width})
 
 

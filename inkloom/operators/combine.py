@@ -16,36 +16,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def band(a: str, b: str) -> tuple[list[list[int]], int]:
+    """The edit distances of all beginnings of two texts next to the diagonal, and how far from it they reach.
+
+    Cells further away than the distance are on no shortest path; the band is doubled until it is as wide as the distance.
+    """
+    n, m = len(a), len(b)
+    d = max(1, abs(n - m))
+    while True:
+        far = n + m + 1
+        rows = [[*range(min(m, d) + 1)]]
+        for i in range(1, n + 1):
+            lo, hi = max(0, i - d), min(m, i + d)
+            last, shift, x = rows[-1], max(0, i - 1 - d), a[i - 1]
+            row = []
+            for j in range(lo, hi + 1):
+                k = j - shift
+                up = last[k] + 1 if k < len(last) else far
+                left = row[-1] + 1 if row else far
+                over = last[k - 1] + (x != b[j - 1]) if j and k else far
+                row.append(min(up, left, over))
+            rows.append(row)
+        if rows[n][m - max(0, n - d)] <= d:
+            return rows, d
+        d *= 2
+
+
 def align(pivot: str, other: str) -> tuple[list[str], list[str]]:
-    """What the other has at each character of the pivot ('' if nothing), and what it inserts before each and at the end."""
-    # Equal ends and beginnings are kept by any shortest alignment of this order; only what is between is aligned.
+    """What the other has at each character of the pivot ('' if nothing), and what it inserts before each and at the end.
+
+    The way back through the distances begins at the ends, so what may stand in several places stands in the foremost,
+    whatever else differs; equal ends belong together in any case and are left out first.
+    """
     tail = 0
     while tail < min(len(pivot), len(other)) and pivot[-1 - tail] == other[-1 - tail]:
         tail += 1
-    if tail:
-        at, inserts = align(pivot[: len(pivot) - tail], other[: len(other) - tail])
-        return at + list(pivot[len(pivot) - tail :]), inserts + [""] * tail
-    if pivot and other and pivot[0] == other[0]:
-        head = next((k for k, (x, y) in enumerate(zip(pivot, other, strict=False)) if x != y), min(len(pivot), len(other)))
-        at, inserts = align(pivot[head:], other[head:])
-        return list(pivot[:head]) + at, [""] * head + inserts
-    n, m = len(pivot), len(other)
-    cost = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        row = [i]
-        for j in range(1, m + 1):
-            row.append(min(cost[i - 1][j - 1] + (pivot[i - 1] != other[j - 1]), cost[i - 1][j] + 1, row[j - 1] + 1))
-        cost.append(row)
-    at, inserts, i, j = [""] * n, [""] * (n + 1), n, m
-    while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (pivot[i - 1] != other[j - 1]):
+    n, m = len(pivot) - tail, len(other) - tail
+    at, inserts, i, j = [""] * n + list(pivot[n:]), [""] * (len(pivot) + 1), n, m
+    rows, d = band(pivot[:n], other[:m]) if n and m else ([], 0)
+
+    def cost(i: int, j: int) -> int:
+        return rows[i][j - max(0, i - d)] if abs(i - j) <= d else n + m + 1
+
+    while i and j:
+        here = cost(i, j)
+        if here == cost(i - 1, j - 1) + (pivot[i - 1] != other[j - 1]):
             i, j = i - 1, j - 1
             at[i] = other[j]
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        elif here == cost(i - 1, j) + 1:
             i -= 1
         else:
             j -= 1
             inserts[i] = other[j] + inserts[i]
+    inserts[i] = other[:j] + inserts[i]
     return at, inserts
 
 

@@ -133,7 +133,11 @@ def q_page_coverage(s, d):
     return page_pairs(s, d).select("page_id", F.size(words("ref")).cast("bigint").alias("words"), metrics.shared_words(words("ref"), words("hyp")).cast("bigint").alias("hit"))
 
 
-@query("q_page_report")
+SMALL = "translate({0}, array_to_string(cs, ''), array_to_string(list_transform(range(1, len(cs) + 1), lambda i: chr(i::int)), ''))"
+
+
+# The built-in distance counts bytes, so each pair's characters (fewer than 128) are written as one byte each.
+@query("q_page_report", f"with {GOLD}, {TRANSCRIPTS}, raw as (select page_id, {text.sql_normalize('page_text')} as ref, {text.sql_normalize('transcript')} as hyp from (select distinct page_id, page_text from gold_pages) left join said using (page_id)), chars as (select *, list_distinct(regexp_extract_all(ref || hyp, '(?s).')) as cs, {text.sql_words('ref')} as rw, {text.sql_words('hyp')} as hw from raw), scored as (select hyp, length(ref) as n, levenshtein({SMALL.format('ref')}, {SMALL.format('hyp')})::bigint as d, {metrics.sql_shared('rw', 'hw')}::bigint as hit, len(rw)::bigint as words, case when ref = '' then (case when hyp = '' then 0e0 else 1e0 end) else d::double / n end as cer from chars) select count(*) as n_pages, count(*) filter (hyp <> '') as n_scored, count(*) filter (hyp = '') as n_blank, round(sum(d) filter (hyp <> '')::double / nullif(sum(n) filter (hyp <> ''), 0), 6) as cer_micro, round(median(cer) filter (hyp <> ''), 6) as cer_median, round(avg(case when words > 0 then hit::double / words else 0e0 end) filter (hyp <> ''), 6) as wcov_macro, round(sum(hit) filter (hyp <> '')::double / nullif(sum(words) filter (hyp <> ''), 0), 6) as wcov_micro from scored")
 def q_page_report(s, d):
     return metrics.scored(page_pairs(s, d)).agg(*metrics.page_report())
 
@@ -338,7 +342,16 @@ def q_ctc_topk(s, d):
     return each.select("vec_id", "t", F.array_join(F.transform(ctc.top_classes(F.col("f"), 2), lambda c: c.cast("string")), ",").alias("top"))
 
 
-@query("q_ctc_beam")
+ADD = "greatest({0}, {1}) + ln(1 + exp(least({0}, {1}) - greatest({0}, {1})))"
+
+
+# Prefixes of the beam grow frame by frame; -1e300 stands for the logarithm of nothing.
+@query("q_ctc_beam", f"""with recursive {LONG}, beam as (select vec_id, 0 as t, '' as prefix, 0e0 as pb, -1e300 as pc from embeddings union all
+ select vec_id, t, prefix, pb, pc from (select vec_id, t, prefix, pb, pc, row_number() over (partition by vec_id order by {ADD.format('pb', 'pc')} desc) as r from (
+  select vec_id, t, prefix, max(b) + ln(sum(exp(b - mb))) as pb, max(c) + ln(sum(exp(c - mc))) as pc from (select *, max(b) over (partition by vec_id, prefix) as mb, max(c) over (partition by vec_id, prefix) as mc from (
+   select b.vec_id, b.t + 1 as t, unnest(case when s.c = 0 then [struct_pack(prefix := prefix, b := {ADD.format('pb', 'pc')} + lp, c := -1e300)] when right(prefix, 1) = chr((96 + s.c)::int) then [struct_pack(prefix := prefix, b := -1e300, c := greatest(pc + lp, -1e300)), struct_pack(prefix := prefix || chr((96 + s.c)::int), b := -1e300, c := greatest(pb + lp, -1e300))] else [struct_pack(prefix := prefix || chr((96 + s.c)::int), b := -1e300, c := {ADD.format('pb', 'pc')} + lp)] end, recursive := true)
+   from beam b join soft s on s.vec_id = b.vec_id and s.t = b.t)) group by vec_id, t, prefix)) where r <= 12)
+ select vec_id, arg_max(prefix, {ADD.format('pb', 'pc')}) as decoded from beam where t = 16 group by vec_id""")
 def q_ctc_beam(s, d):
     return ctc.beam(soft(s, d), "vec_id", "frames", SYMBOLS, 12, 4)
 
@@ -346,7 +359,19 @@ def q_ctc_beam(s, d):
 # ---- combining --------------------------------------------------------------------------------------------------------
 
 
-@query("q_rover")
+# Every other read is aligned to the first by a table of distances, walked back from its end: keep or replace, else delete, else insert.
+VOTED = f"""{GOLD}, hy as (select row_number() over () as rid, line_id, list_transform(coalesce(reads, []), lambda x: {text.sql_normalize('x')}) as ts from gold),
+ each as (select rid, k, ts[1] as p, ts[k] as o from (select rid, ts, unnest(range(1, len(ts) + 1)) as k from hy)),
+ mats as (select p, o, px, ox, list_reduce(px, lambda acc, ca: list_append(acc, list_reduce(range(1, len(ox) + 1), lambda r, j: list_append(r, least(acc[-1][j + 1] + 1, r[j] + 1, acc[-1][j] + (case when ox[j] = ca then 0 else 1 end))), [acc[-1][1] + 1])), [range(0, len(ox) + 1)]) as cost from (select p, o, regexp_extract_all(p, '(?s).') as px, regexp_extract_all(o, '(?s).') as ox from (select distinct p, o from each where p <> o))),
+ walk as (select p, o, len(px) as i, len(ox) as j, 0 as op, 0 as place, '' as ch from mats union all select p, o, i - (op < 3)::int, j - (op <> 2)::int, op, i, case when op = 2 then '' else ox[j] end from (select w.p, w.o, w.i, w.j, px, ox, case when w.i > 0 and w.j > 0 and cost[w.i + 1][w.j + 1] = cost[w.i][w.j] + (case when px[w.i] = ox[w.j] then 0 else 1 end) then 1 when w.i > 0 and cost[w.i + 1][w.j + 1] = cost[w.i][w.j + 1] + 1 then 2 else 3 end as op from walk w join mats m on m.p = w.p and m.o = w.o where w.i > 0 or w.j > 0)),
+ at_ as (select p, o, place as i, ch from walk where op in (1, 2) union all select distinct p, p, unnest(range(1, len(regexp_extract_all(p, '(?s).')) + 1)), unnest(regexp_extract_all(p, '(?s).')) from each),
+ ins as (select p, o, place as i, string_agg(ch, '' order by j) as said from walk where op = 3 group by all),
+ chosen as (select rid, i, ch from (select rid, i, ch, count(*) as n, min(k) as k from each join at_ using (p, o) group by all) qualify row_number() over (partition by rid, i order by n desc, k) = 1),
+ added as (select rid, i, said from each join ins using (p, o) join (select rid, len(ts) as m from hy) using (rid) group by rid, i, said, m having count(*) * 2 > m),
+ parts as (select rid, i * 2 as o, ch from chosen union all select rid, i * 2 + 1, said from added)"""
+
+
+@query("q_rover", f"with recursive {VOTED} select line_id, coalesce(any_value(v), '') as voted from hy left join (select rid, string_agg(ch, '' order by o) as v from parts group by rid) using (rid) group by rid, line_id")
 def q_rover(s, d):
     return gold(s, d).select("line_id", combine.voted(text.normalize_each(F.col("reads"))).alias("voted"))
 
@@ -428,7 +453,7 @@ def q_seeded_sample(s, d):
     return readers.sample(load(s, d, "documents").select("doc_id"), "doc_id", 100, seed=3)
 
 
-@query("q_bootstrap_widths")
+@query("q_bootstrap_widths", f"with rows as (select doc_id, n_chars as width, row_number() over (order by {readers.SQL_NUMBER.format(0, 'doc_id')} % 256, md5('1:' || doc_id), doc_id) - 1 as no from documents), draws as (select i as draw, {readers.SQL_NUMBER.format(1, 'i')} % (select count(*) from documents) as no from range(10000) as r(i)) select draw, doc_id, width from draws join rows using (no)")
 def q_bootstrap_widths(s, d):
     widths = load(s, d, "documents").select("doc_id", F.col("n_chars").alias("width"))
     return readers.resample(widths, "doc_id", 10_000, seed=1).select("draw", "doc_id", "width")
@@ -458,7 +483,7 @@ def q_unknown_sources(s, d):
     return load(s, d, "documents").where("source is not null").select("source").distinct().join(load(s, d, "source_targets"), "source", "left_anti")
 
 
-@query("q_image_sizes")
+@query("q_image_sizes", "select line_id, case when png then ('0x' || substr(x, 33, 8))::int end as width, case when png then ('0x' || substr(x, 41, 8))::int end as height from (select line_id, x, x[1:16] = '89504E470D0A1A0A' and length(x) >= 48 as png from (select line_id, hex(image) as x from gold_lines where image is not null))")
 def q_image_sizes(s, d):
     return readers.image_sizes(load(s, d, "gold_lines").where("image is not null").select("line_id", "image"), "line_id", "image")
 
@@ -496,12 +521,16 @@ def q_box_filter(s, d):
     return boxes(s, d).where(geometry.plausible(F.lit(60.0))).select("page", "box_id")
 
 
-@query("q_box_merge")
+MEETS = "list_position(list_transform(acc, lambda o: least(b.y + b.h, o.y + o.h) - greatest(b.y, o.y) > 0.5 * least(b.h, o.h) and greatest(b.x, o.x) - least(b.x + b.w, o.x + o.w) < 72), true)"
+JOINED = "struct_pack(x := least(b.x, acc[{0}].x), y := least(b.y, acc[{0}].y), w := greatest(b.x + b.w, acc[{0}].x + acc[{0}].w) - least(b.x, acc[{0}].x), h := greatest(b.y + b.h, acc[{0}].y + acc[{0}].h) - least(b.y, acc[{0}].y))".format(MEETS)
+
+
+@query("q_box_merge", f"with {BOXES}, sorted as (select page, list(struct_pack(x := x, y := y, w := w, h := h) order by y, x, w, h) as bs from boxes group by page), joined as (select page, list_reduce(bs[2:], lambda acc, b: case when coalesce({MEETS}, 0) = 0 then list_append(acc, b) else acc[1:{MEETS} - 1] || [{JOINED}] || acc[{MEETS} + 1:] end, bs[1:1]) as js from sorted) select page, (i - 1)::int as box_no, j.x, j.y, j.w, j.h from (select page, unnest(js) as j, generate_subscripts(js, 1) as i from joined)")
 def q_box_merge(s, d):
     return geometry.merged(boxes(s, d), "page", 60.0)
 
 
-@query("q_reading_order")
+@query("q_reading_order", f"with {BOXES}, sorted as (select page, list(struct_pack(x := x, y := y, w := w, h := h) order by y + h / 2e0, x, y, w, h) as bs from boxes group by page), ordered as (select page, list_reduce(bs, lambda a, b: case when a.n > 0 and abs(b.y + b.h / 2e0 - a.total / a.n) < 27e0 then struct_pack(r := a.r, n := a.n + 1, total := a.total + b.y + b.h / 2e0, rows := list_append(a.rows, a.r)) else struct_pack(r := a.r + 1, n := 1::bigint, total := b.y + b.h / 2e0, rows := list_append(a.rows, a.r + 1)) end, struct_pack(r := -1::bigint, n := 0::bigint, total := 0e0, rows := []::bigint[])).rows as rs, bs from sorted), each as (select page, unnest(rs) as row_no, unnest(bs) as b, generate_subscripts(bs, 1) as i from ordered) select page, (row_number() over (partition by page order by row_no, -(b.x + b.w), i) - 1)::int as place, row_no::int as row_no, b.x, b.y, b.w, b.h from each")
 def q_reading_order(s, d):
     return geometry.reading_order(boxes(s, d), "page", 60.0)
 
@@ -514,7 +543,7 @@ def q_box_rescale(s, d):
 # ---- batches ----------------------------------------------------------------------------------------------------------
 
 
-@query("q_budget_batches")
+@query("q_budget_batches", f"with recursive pools as (select doc_id, n_chars, {readers.SQL_NUMBER.format(0, 'doc_id')} % greatest(1, (select (count(n_chars) + 4095) // 4096 from documents)) as pool_no from documents where n_chars is not null), r as (select *, row_number() over (partition by pool_no order by n_chars, doc_id) as i from pools), f as (select *, 0 as batch_no, 1 as n from r where i = 1 union all select r.doc_id, r.n_chars, r.pool_no, r.i, case when (n + 1) * r.n_chars > 20000 or n >= 64 then batch_no + 1 else batch_no end, case when (n + 1) * r.n_chars > 20000 or n >= 64 then 1 else n + 1 end from f join r on r.pool_no = f.pool_no and r.i = f.i + 1) select doc_id, n_chars, pool_no::int as pool_no, batch_no from f")
 def q_budget_batches(s, d):
     return batching.budget_batches(load(s, d, "documents"), "doc_id", "n_chars", 20_000)
 

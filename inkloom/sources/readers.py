@@ -21,6 +21,15 @@ def seeded(seed: int, key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
 
+def number(seed: int, key: Column) -> Column:
+    """A random but repeatable number of 60 bits for a key."""
+    return F.conv(F.substring(seeded(seed, key), 1, 15), 16, 10).cast("bigint")
+
+
+#: The same in SQL, of a seed and an expression.
+SQL_NUMBER = "('0x' || substr(md5('{0}:' || {1}), 1, 15))::bigint"
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows in seeded order, without replacement: the sampling operator's own limit."""
     return df.orderBy(seeded(seed, F.col(key)), key).limit(n)
@@ -29,11 +38,11 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 def resample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n draws with replacement: draw d takes the row whose number is hash(seed, d) modulo the rows. Numbers are given by
     the seeded order within 256 parts, so no task orders all rows."""
-    parts = df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(256)).cast("int"))
+    parts = df.withColumn("part", (number(0, F.col(key)) % 256).cast("int"))
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = sizes.agg(F.sum("n").alias("total"))
     rows = parts.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(seeded(seed, F.col(key)), key)) - 1).join(F.broadcast(sizes.select("part", "first")), "part").withColumn("no", F.col("first") + F.col("r")).drop("part", "first", "r")
-    draws = df.sparkSession.range(n).crossJoin(F.broadcast(total)).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("total")).alias("no"))
+    draws = df.sparkSession.range(n).crossJoin(F.broadcast(total)).select(F.col("id").alias("draw"), F.pmod(number(seed, F.col("id")), F.col("total")).alias("no"))
     return draws.join(rows, "no").drop("no")
 
 

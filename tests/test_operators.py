@@ -367,3 +367,20 @@ def test_settled_tables_are_given_back(spark):
     assert t.count() == 3
     session.release(t, spark.range(1))
     assert not Path(t.settled_at).exists()
+
+
+def test_alignment_is_shortest_and_does_not_depend_on_other_differences():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        a, b = ("".join(rng.choice(list("abc "), rng.integers(0, 12))) for _ in (0, 1))
+        at, ins = combine.align(a, b)
+        assert "".join(x + y for x, y in zip(ins, [*at, ""], strict=True)) == b
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert sum(map(len, ins)) + sum(x != y for x, y in zip(at, a, strict=True)) == row[-1]
+    # a word that two of three have is kept although one of them differs elsewhere, before or behind it
+    assert combine.vote(["one two four", "one two three four", "one two three fourX"]) == "one two three four"
+    assert combine.vote(["one two four", "one two three four", "Xne two three four"]) == "one two three four"
