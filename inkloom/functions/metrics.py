@@ -70,9 +70,20 @@ def page_report(hyp: str = "hyp", digits: int = 6) -> list[Column]:
     return [F.count(F.lit(1)).alias("n_pages"), *line_report(hyp, digits, ["n_scored", "n_blank", "cer_micro", "cer_median", "wcov_macro", "wcov_micro"])]
 
 
+def zipped(gold: DataFrame, said: DataFrame, place: str) -> DataFrame:
+    """Gold and said rows by their place; sides of unlike length, or places that don't match, are an error."""
+    n, m = gold.count(), said.count()
+    if n != m:
+        raise ValueError(f"{n} references and {m} hypotheses")
+    out = gold.join(said, place)
+    if out.count() != n:
+        raise ValueError(f"the values of {place} don't match")
+    return out
+
+
 def summary(digits: int = 4) -> Column:
     """A line report in one sentence, as a column over its row."""
-    number = lambda c: F.coalesce(F.format_string(f"%.{digits}f", F.col(c)), F.lit("-"))
+    number = lambda c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c))).otherwise("-")
     count = lambda c: F.col(c).cast("string")
     return F.concat(F.lit("median "), number("cer_median"), F.lit(" ["), number("cer_q1"), F.lit(", "), number("cer_q3"), F.lit("], micro "), number("cer_micro"), F.lit(", no drop "), number("cer_median_nodrop"), F.lit(", words "), number("wcov_micro"), F.lit(", scored "), count("n_scored"), F.lit(" of "), count("n_total"))
 

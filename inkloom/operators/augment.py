@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from inkloom.operators.image import blur, decode_png, dilate, ink_fraction, resize
+from inkloom.sources.readers import resample
 
 
 def sample_at(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -227,6 +229,53 @@ def renderable(text: str, known: set[str]) -> str:
     return " ".join("".join(c for c in text if c == " " or c in known).split())
 
 
+def renderable_text(text: Column, letters: str) -> Column:
+    """The same of a column, for an alphabet as the inside of a character class."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{letters} ]+", ""), " +", " "))
+
+
+def glyph_bank(glyphs: DataFrame, ch: str, key: str, most: int) -> DataFrame:
+    """At most so many glyphs of each character, the first by key; tasks drop the rest of a common character before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(ch).orderBy(key))
+    return glyphs.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def glyph_ratios(glyphs: DataFrame, ch: str, height: str, plain: list[str]) -> DataFrame:
+    """``(ch, n, ratio)``: each character's median height against the median of the plain characters' medians (of all where none of them is there)."""
+    each = glyphs.groupBy(F.col(ch).alias("ch")).agg(F.median(height).alias("m"), F.count(F.lit(1)).alias("n"))
+    base = each.agg(F.coalesce(F.median(F.when(F.col("ch").isin(plain), F.col("m"))), F.median("m")).alias("base"))
+    return each.crossJoin(F.broadcast(base)).select("ch", "n", (F.col("m") / F.col("base")).alias("ratio"))
+
+
+def glyph_lines(texts: DataFrame, key: str, text: str, bank: dict[str, list[np.ndarray]], seed: int = 0, least: int = 4) -> DataFrame:
+    """``(key, text, height, width, pixels)``: lines composed from a bank of glyphs, by seed and key.
+
+    Texts keep what the bank can draw; shorter ones than ``least`` give no row. The bank is sent to all tasks; it is bounded by
+    characters times glyphs a character.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(bank)
+    kind = texts.schema[key].dataType.simpleString()
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set(sent.value)
+        for b in batches:
+            rows = []
+            for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if len(said := renderable(t or "", known)) >= least:
+                    a = compose_line(said, sent.value, np.random.default_rng([seed, zlib.crc32(str(k).encode())]))
+                    rows.append((i, said, *a.shape, a.tobytes()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True))], names=["key", "text", "height", "width", "pixels"])
+
+    return texts.select(key, text).mapInArrow(go, f"key {kind}, text string, height int, width int, pixels binary").withColumnRenamed("key", key)
+
+
+def endless_lines(n: int, texts: DataFrame, text: str, bank: dict[str, list[np.ndarray]], seed: int = 0) -> DataFrame:
+    """A table of n composed lines that knows its rows before any is drawn: row i takes the text that its number leads to."""
+    numbered = resample(texts.select(F.monotonically_increasing_id().alias("_k"), F.col(text).alias("t")), "_k", n, seed)
+    return glyph_lines(numbered.select("draw", "t"), "draw", "t", bank, seed)
+
+
 def compose_line(text: str, glyphs: dict[str, list[np.ndarray]], rng: np.random.Generator, height: int = 64) -> np.ndarray:
     """A line written from right to left: letters on a baseline at 0.72 of the height, descending ones 0.45 and hanging ones -0.42 of their own height below it."""
     ratio, x_height = height_ratios(glyphs), 0.45 * height

@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkloom.operators.lm import Model
+
 
 def valid(frames: Column, n: Column | None = None) -> Column:
     """The first ``n`` frames; all of them without n."""
@@ -111,11 +113,30 @@ def beam_text(frames: np.ndarray, symbols: list[str], width: int = 16, top: int
     return max(beam.items(), key=final)[0]
 
 
-def beam(df: DataFrame, key: str, frames: str, symbols: list[str], width: int = 16, top: int = 8, **options: object) -> DataFrame:
-    """``(key, decoded)`` by prefix beam search, in Arrow batches."""
+def average_shared(frames: DataFrame, alphabets: DataFrame, weights: DataFrame, key: str, floor: float = 1e-9) -> DataFrame:
+    """``(key, t, ch, lp)``: the weighted mean of the probabilities of any number of systems over the characters that all of them have.
+
+    ``frames(key, system, t, c, lp)``, ``alphabets(system, c, ch)``, ``weights(system, weight)``. Probabilities are first brought to
+    sum 1 over the shared characters. Alphabets are small, so the join with them stays on the frames' side; one exchange by (key, t).
+    """
+    n = alphabets.agg(F.count_distinct("system").alias("n"))
+    shared = alphabets.groupBy("ch").agg(F.count_distinct("system").alias("k")).join(n, F.col("k") == F.col("n")).select("ch")
+    parts = weights.crossJoin(weights.agg(F.sum("weight").alias("all"))).select("system", (F.col("weight") / F.col("all")).alias("part"))
+    known = alphabets.join(shared, "ch").join(parts, "system")
+    each = frames.join(known, ["system", "c"]).withColumn("p", F.exp("lp"))
+    alone = each.withColumn("sum", F.sum("p").over(Window.partitionBy(key, "t", "system")))
+    return alone.groupBy(key, "t", "ch").agg(F.log(F.greatest(F.sum(F.col("part") * F.col("p") / F.col("sum")), F.lit(floor))).alias("lp"))
+
+
+def beam(df: DataFrame, key: str, frames: str, symbols: list[str], width: int = 16, top: int = 8, model: Model | None = None, word_weight: float = 0.0, **options: object) -> DataFrame:
+    """``(key, decoded)`` by prefix beam search, in Arrow batches; with a model its characters and, by ``word_weight``, its words count."""
     kind = df.schema[key].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(model)  # of bounded size
 
     def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        if m is not None:
+            options.update(lm=m.logprob, bonus=m.bonus, word_weight=word_weight)
         for pdf in parts:
             yield pd.DataFrame({key: pdf[key], "decoded": ["" if f is None or not len(f) else beam_text(np.array([np.asarray(x, float) for x in f]), symbols, width, top, **options) for f in pdf[frames]]})
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAD = "\x02"
@@ -63,6 +63,64 @@ def char_logprobs(texts: DataFrame, key: str, column: str, grams: DataFrame, ord
     return asked.join(longest, "gram", "left").crossJoin(F.broadcast(total)).groupBy(F.col("_key").alias(key)).agg(F.sum("k").alias("n_chars"), F.sum(F.col("k") * lp).alias("logprob"))
 
 
+#: Grams and words that a model in memory may have.
+MOST_IN_MEMORY = 5_000_000
+
+
+class Model:
+    """A character model and a word model in memory, for decoding; bounded by ``MOST_IN_MEMORY``, beyond which texts are scored by joins."""
+
+    def __init__(self, grams: dict[str, float], total: int, order: int, words: dict[str, float] | None = None) -> None:
+        self.grams, self.order, self.words = grams, order, words or {}
+        self.back, self.floor = math.log(BACKOFF), -math.log(max(total, 1))
+
+    @classmethod
+    def load(cls, grams: DataFrame, order: int, words: DataFrame | None = None, most: int = MOST_IN_MEMORY) -> Model:
+        """The models of count tables ``(n, gram, cnt)`` and ``(word, cnt)``."""
+        rows = scored_grams(grams).limit(most + 1).collect()
+        said = [] if words is None else words.crossJoin(F.broadcast(words.agg(F.sum("cnt").alias("total")))).select("word", F.log(F.col("cnt") / F.col("total")).alias("lp")).limit(most + 1).collect()
+        if len(rows) + len(said) > most:
+            raise ValueError(f"a model in memory has at most {most} grams and words")
+        total = grams.where((F.col("n") == 1) & (F.col("gram") != PAD)).agg(F.sum("cnt").alias("t")).first().t
+        return cls({r.gram: r.lp for r in rows}, total or 0, order, {r.word: r.lp for r in said})
+
+    def logprob(self, prefix: str, ch: str) -> float:
+        """The stupid-backoff score of a character behind a prefix."""
+        context = prefix[max(0, len(prefix) - self.order + 1) :]
+        for k in range(len(context) + 1):
+            lp = self.grams.get(context[k:] + ch)
+            if lp is not None:
+                return lp + k * self.back
+        return (len(context) + 1) * self.back + self.floor
+
+    def word_logprob(self, word: str) -> float:
+        """The word's own score, else that of the word without one prefix letter at a cost, else the floor."""
+        if not word:
+            return 0.0
+        if word in self.words:
+            return self.words[word]
+        if len(word) > 2 and word[0] in PREFIX_LETTERS and word[1:] in self.words:
+            return self.words[word[1:]] + PREFIX_COST
+        return OOV
+
+    def bonus(self, word: str) -> float:
+        """What a closed word is worth above an unknown one."""
+        return max(0.0, self.word_logprob(word) - OOV)
+
+
+def save(counts: DataFrame, path: str, **meta: float) -> None:
+    """Writes a count table, and what belongs to it (order, costs) as one row beside it."""
+    counts.write.mode("overwrite").parquet(f"{path}/counts")
+    rows = [(k, float(v)) for k, v in meta.items()]
+    counts.sparkSession.createDataFrame(rows, "name string, value double").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def restore(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float]]:
+    """The count table written by ``save``, and what belongs to it."""
+    meta = {r.name: r.value for r in spark.read.schema("name string, value double").json(f"{path}/meta").collect()}
+    return spark.read.parquet(f"{path}/counts"), meta
+
+
 def word_counts(texts: DataFrame, column: str, word: str = WORD) -> DataFrame:
     """``(word, cnt)`` of the words that the pattern finds."""
     return texts.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(word), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))

@@ -6,9 +6,13 @@ as they come. Nothing here reads a file on the driver but lists of a few names.
 
 from __future__ import annotations
 
+import io
 import struct
 import xml.etree.ElementTree as ET
+import zipfile
+import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -85,6 +89,111 @@ def name_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> ''").distinct()
 
 
+def text_lines(spark: SparkSession, path: str, budget: int | None = None) -> DataFrame:
+    """``(file, line_no, text)`` of the non-blank lines of text files, numbered within their file; with a budget of characters the lines up to the one that crosses it.
+
+    Spark reads a file's lines in order within a split, so they are numbered by their place in the file.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("text")).where("text <> ''")
+    out = lines.withColumn("line_no", (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).cast("bigint")).drop("at")
+    if budget is None:
+        return out
+    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    sized = out.withColumn("n", F.length("text").cast("bigint"))
+    files = sized.groupBy("file").agg(F.sum("n").alias("s"))
+    before = files.withColumn("first", F.coalesce(F.sum("s").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("first") < budget)
+    inside = sized.join(before.select("file", "first"), "file").withColumn("so_far", F.col("first") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+    return inside.where(F.col("so_far") < budget).select("file", "line_no", "text")
+
+
+def image_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, content)`` of the files of a folder that image names end in, as they are; nothing is decoded."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.where(F.lower(F.col("path")).rlike(r"[.](png|jpe?g|gif|bmp|tiff?)$")).select("path", "content")
+
+
+def archive_entries(archives: DataFrame, key: str, content: str, suffix: str = "") -> DataFrame:
+    """``(key, entry, content)`` of the files in zip archives, in the order of their names; entries of other suffixes aren't unpacked.
+
+    An archive is one value, so a task holds one archive and one entry at a time. What is no archive, and entries that can't
+    be unpacked, give no rows; folders are no entries.
+    """
+    kind = archives.schema[key].dataType.simpleString()
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, data in enumerate(b.column(1)):
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(data.as_py() or b""))
+                except zipfile.BadZipFile:
+                    continue
+                for name in sorted(n for n in z.namelist() if n.endswith(suffix) and not n.endswith("/")):
+                    try:
+                        yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([name], pa.string()), pa.array([z.read(name)], pa.binary())], names=["key", "entry", "content"])
+                    except (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error):
+                        continue
+
+    return archives.select(key, content).where(F.col(content).isNotNull()).mapInArrow(go, f"key {kind}, entry string, content binary").withColumnRenamed("key", key)
+
+
+def archived(files: DataFrame, archive: str, name: str, content: str) -> DataFrame:
+    """``(archive, content)``: the files of each archive as a zip, in the order of their names; an archive fits into one task."""
+    kind = files.schema[archive].dataType.simpleString()
+
+    def go(table: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for n, c in sorted(zip(table.column("name").to_pylist(), table.column("content").to_pylist(), strict=True)):
+                z.writestr(zipfile.ZipInfo(n), c)
+        return pa.table({"archive": table.column("archive").slice(0, 1), "content": pa.array([out.getvalue()], pa.binary())})
+
+    rows = files.select(F.col(archive).alias("archive"), F.col(name).alias("name"), F.col(content).cast("binary").alias("content")).dropna()
+    return rows.groupBy("archive").applyInArrow(go, f"archive {kind}, content binary").withColumnRenamed("archive", archive)
+
+
+@dataclass(frozen=True)
+class Registered:
+    """A source of a registry: where it is read from, the most rows taken of it, and whether "all" means it too."""
+
+    read: Callable[[], DataFrame]
+    cap: int | None = None
+    in_all: bool = True
+
+
+def chosen_sources(registry: dict[str, Registered], wanted: str | list[str] | None) -> list[str]:
+    """The names asked for, in the registry's order: none for null, "" and "none", those meant by "all", else a list or names between commas; an unknown one is an error."""
+    if wanted is None or wanted in ("", "none"):
+        return []
+    if wanted == "all":
+        return [n for n, r in registry.items() if r.in_all]
+    names = [n.strip() for n in wanted.split(",")] if isinstance(wanted, str) else list(wanted)
+    if unknown := sorted(set(names) - set(registry)):
+        raise ValueError(f"unknown sources: {', '.join(unknown)}; there are {', '.join(registry)}")
+    return [n for n in registry if n in names]
+
+
+def composite(registry: dict[str, Registered], wanted: str | list[str] | None, columns: list[str], key: str, seed: int = 0, limit: int | None = None) -> DataFrame | None:
+    """The rows of the chosen sources under one another, each capped in seeded order, with ``source_name``, ``source_no`` and ``rank``; sources that can't be read are left out.
+
+    ``limit`` keeps the first rows over all sources, in the order of sources and ranks. None if there is nothing to read.
+    """
+    parts: dict[str, DataFrame] = {}
+    for name in chosen_sources(registry, wanted):
+        try:
+            rows = registry[name].read().select(*columns)
+        except AnalysisException:
+            continue
+        cap = registry[name].cap
+        order = Window.orderBy(seeded(seed, F.col(key)), key)
+        # a cap is a top-k, which tasks do before one of them merges; without one, ranks are numbers in seeded order
+        rows = rows.orderBy(seeded(seed, F.col(key)), key).limit(cap) if cap is not None else rows
+        parts[name] = rows.withColumn("rank", F.row_number().over(order)) if cap is not None else rows.withColumn("rank", F.lit(None).cast("int"))
+    if not parts:
+        return None
+    out = union(parts, [*columns, "rank"])
+    return out if limit is None else out.orderBy("source_no", F.col("rank").asc_nulls_last(), seeded(seed, F.col(key)), key).limit(limit)
+
+
 def base_name(c: Column) -> Column:
     return F.regexp_extract(c, r"([^/]*)$", 1)
 
