@@ -1,6 +1,6 @@
 """The boundary to a recognizer: any function from a batch of inputs to texts, run in Arrow batches next to the data.
 
-Rows are sorted by width within partitions first, so that a batch holds inputs of about
+Rows are sorted by width, or by width at one height, within partitions first, so that a batch holds inputs of about
 one size; a batch that fails gives empty texts, as a failed reading does.
 """
 
@@ -18,8 +18,8 @@ from inkloom.operators.geometry import transcript
 from inkloom.operators.image import page_lines
 
 
-def read(df: DataFrame, key: str, content: str, reader: Callable[[list], list[str]], width: str | None = None, batch: int = 64) -> DataFrame:
-    """``(key, text)`` from a reader that is sent to the workers once."""
+def read(df: DataFrame, key: str, content: str, reader: Callable[[list], list[str]], width: str | None = None, batch: int = 64, height: str | None = None) -> DataFrame:
+    """``(key, text)`` from a reader that is sent to the workers once; with a height, inputs are sorted by their width at one height."""
     kind = df.schema[key].dataType.simpleString()
 
     def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,7 +32,8 @@ def read(df: DataFrame, key: str, content: str, reader: Callable[[list], list[st
                     texts = [""] * len(part)
                 yield pd.DataFrame({key: part[key], "text": texts})
 
-    ordered = df.sortWithinPartitions(width) if width else df
+    by = F.col(width) / F.greatest(F.col(height), F.lit(1)) if width and height else F.col(width) if width else None
+    ordered = df if by is None else df.sortWithinPartitions(by)
     return ordered.select(key, content).mapInPandas(go, f"{key} {kind}, text string")
 
 

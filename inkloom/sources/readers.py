@@ -194,6 +194,11 @@ def composite(registry: dict[str, Registered], wanted: str | list[str] | None, c
     return out if limit is None else out.orderBy("source_no", F.col("rank").asc_nulls_last(), seeded(seed, F.col(key)), key).limit(limit)
 
 
+def quality_gate(df: DataFrame, column: str, most: float | None) -> DataFrame:
+    """The rows whose measure is at most a bound (null measures aren't); all rows without a bound or without the column."""
+    return df if most is None or column not in df.columns else df.where(F.col(column) <= most)
+
+
 def base_name(c: Column) -> Column:
     return F.regexp_extract(c, r"([^/]*)$", 1)
 

@@ -21,8 +21,15 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").csv(path)
 
 
-def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at the path, made and written there if it isn't yet; the path names what it depends on."""
+def write_page_blocks(df: DataFrame, name: str, text: str, path: str) -> None:
+    """Writes each page as a block: ``###`` and its name, its text, an empty line."""
+    block = F.concat(F.lit("### "), F.col(name).cast("string"), F.lit("\n"), F.coalesce(F.col(text), F.lit("")), F.lit("\n"))
+    df.select(block.alias("value")).write.mode("overwrite").text(path)
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], **depends: object) -> DataFrame:
+    """The table at the path, made and written there if it isn't yet; what it depends on (name, split, seed, ...) becomes part of the path."""
+    path = "/".join([path, *(f"{k}={v}" for k, v in sorted(depends.items()))])
     try:
         return spark.read.parquet(path)
     except AnalysisException:

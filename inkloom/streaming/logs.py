@@ -16,3 +16,9 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str, late: str = "10 min
     """``(key, from_ts, to_ts, n)``: spells without a stall; a new one begins after every gap of so long."""
     timed = stream.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
     return timed.groupBy(F.session_window("at", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("from_ts"), F.col("w.end").alias("to_ts"), "n")
+
+
+def follow(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Appends what is new in a stream of logs to the table at the path and ends; the checkpoint knows how far it came, so a
+    run that was broken off, or a later one, goes on from there and no row is written twice."""
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()

@@ -8,8 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from inkloom.functions import metrics
-from inkloom.operators import augment, ctc, infer, lm
-from inkloom.sources import readers
+from inkloom.operators import augment, ctc, image, infer, lm
+from inkloom.sources import readers, sinks
+from inkloom.streaming import logs
 from test_operators import page, png
 
 TEXTS = ["שלום עולם", "שלום לכם", "בית ספר גדול", "שלום"]
@@ -147,3 +148,36 @@ def test_lines_from_a_bank_of_glyphs(spark):
     g = spark.createDataFrame([("ל", 1, 150.0), ("א", 1, 100.0), ("א", 2, 300.0), ("ב", 1, 100.0), ("י", 1, 48.0)], "ch string, k int, h double")
     r = {x.ch: (x.n, x.ratio) for x in augment.glyph_ratios(augment.glyph_bank(g, "ch", "k", 1), "ch", "h", ["א", "ב"]).collect()}
     assert r == {"ל": (1, 1.5), "א": (1, 1.0), "ב": (1, 1.0), "י": (1, 0.48)}
+
+
+def test_pixels_joined_from_right_to_left():
+    a, b, c = (np.full((64, w), v, np.uint8) for w, v in ((100, 10), (50, 20), (200, 30)))
+    one, two = image.side_by_side([a, b, c], gap=24, most=200)
+    assert one.shape == (64, 174) and one[0, -1] == 10 and one[0, 0] == 20 and one[0, 60] == 255 and two.shape == (64, 200)
+    assert image.side_by_side([]) == [] and image.side_by_side([np.zeros((32, 10), np.uint8)])[0].shape == (64, 20)
+
+
+def test_gate_cache_and_blocks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.1), (2, 0.9), (3, None)], "k int, cer double")
+    assert [readers.quality_gate(df, c, m).count() for c, m in (("cer", 0.5), ("cer", None), ("other", 0.5))] == [1, 3, 3]
+    made = []
+    for seed in (1, 1, 2):
+        sinks.cached(spark, str(tmp_path / "c"), lambda: made.append(1) or df, split="train", seed=seed)
+    assert len(made) == 2
+    sinks.write_page_blocks(spark.createDataFrame([("p", "a\nb"), ("q", None)], "n string, t string").coalesce(1), "n", "t", str(tmp_path / "b"))
+    assert "\n".join(p.read_text() for p in (tmp_path / "b").glob("*.txt")) == "### p\na\nb\n\n### q\n\n\n"
+
+
+def test_a_log_is_followed_from_where_it_was_left(spark, tmp_path):
+    paths = [str(tmp_path / x) for x in ("in", "out", "check")]
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).write.mode("append").parquet(paths[0])
+        logs.follow(spark.readStream.schema("id bigint").parquet(paths[0]), *paths[1:])
+        assert sorted(r.id for r in spark.read.parquet(paths[1]).collect()) == list(range(k * 10 + 10))
+
+
+def test_reading_by_aspect(spark):
+    df = spark.createDataFrame([(i, "x", 100 - i, 10 + i) for i in range(9)], "k int, c string, w int, h int").coalesce(1)
+    order = []
+    got = infer.read(df, "k", "c", lambda b: [str(len(b))] * len(b), "w", 4, "h").collect()
+    assert [r.k for r in got] == list(range(8, -1, -1)) and not order
