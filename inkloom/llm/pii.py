@@ -27,7 +27,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -115,7 +115,7 @@ class Known:
 
     given: set[str] = field(default_factory=set)
     family: set[str] = field(default_factory=set)
-    templates: set[str] = field(default_factory=set)
+    templates: dict[str, str] = field(default_factory=dict)
     streets: set[str] = field(default_factory=set)
     towns: set[str] = field(default_factory=set)
     phone_labels: set[str] = field(default_factory=set)
@@ -134,9 +134,35 @@ def anchored(word: str, names: set[str]) -> bool:
     return word[2:] in names and word[0] in JOINING and word[1] in PREFIXES and "א" <= word[2] <= "ת"
 
 
-def places(tokens: list[str], names: set[str]) -> list[int]:
-    """Where the tokens have a name of the set, with or without prefix letters; no list of all spellings is needed."""
-    hits = {t for t in set(tokens) if (t in names or t[1:] in names or t[2:] in names) and anchored(t, names)}
+class Names:
+    """A set of names, and which of the words met so far are one, with or without prefix letters; no list of all spellings is needed."""
+
+    #: Words that a process remembers; beyond that it begins anew.
+    MOST_SEEN = 500_000
+
+    def __init__(self, names: set[str]) -> None:
+        self.names, self.seen, self.hits = names, set(), set()
+
+    def __getstate__(self) -> set[str]:
+        return self.names
+
+    def __setstate__(self, names: set[str]) -> None:
+        self.__init__(names)
+
+    def among(self, words: set[str]) -> set[str]:
+        """Those of the words that are names."""
+        if new := words - self.seen:
+            if len(self.seen) > self.MOST_SEEN:
+                self.seen, self.hits, new = set(), set(), words
+            n = self.names
+            self.seen |= new
+            self.hits.update(w for w in new if (w in n or w[1:] in n or w[2:] in n) and anchored(w, n))
+        return words & self.hits
+
+
+def places(tokens: list[str], names: Names) -> list[int]:
+    """Where the tokens have a name."""
+    hits = names.among(set(tokens))
     return [i for i, t in enumerate(tokens) if t in hits] if hits else []
 
 
@@ -279,7 +305,7 @@ def first_scan(texts: DataFrame, folding: Folding, known: Known) -> DataFrame:
             line, j = line_at(tokens, i)
             for key, filler in fillings(line, j):
                 if filler in known.given:
-                    total["line", filler, key, str(len(line)), ""] += 1
+                    total["line", filler, key, shape(line, j), ""] += 1
         for m in ADDRESS.finditer(low) if any(w in low for w in STREET_WORDS) else ():
             rest = REST.match(low, m.end())
             town = TOWN.match(low, rest.end())
@@ -293,31 +319,64 @@ def first_scan(texts: DataFrame, folding: Folding, known: Known) -> DataFrame:
             if (word := label(low, a)) and (kind != "other" or len(digits) >= 7):
                 total["label", word, digits, kind, ""] += 1
 
-    summed = counted(texts, (folding, known, known.names(), Finder(known)), count)
+    summed = counted(texts, (folding, known, Names(known.names()), Finder(known)), count)
     return summed.groupBy("kind", "word", "partner", "l", "r").agg(F.sum("n").alias("n"))
 
 
-def later_scan(texts: DataFrame, folding: Folding, old: Known, new: Known, candidates: dict[str, int]) -> DataFrame:
-    """The changes to the name windows where texts have a new name, and the fillers of the candidate templates (key to length) in all lines."""
+def shape(line: list[str], i: int) -> str:
+    """What can be seen of the template of a line's word at i at a glance: number of tokens, place of the word, first and last token."""
+    return "\x1f".join((str(len(line)), str(i), line[0] if i else "", line[-1] if i + 1 < len(line) else ""))
+
+
+class Shapes:
+    """Candidate templates by what can be seen of them at a glance: number of tokens, place of the word, first and last token ('' where the word itself is)."""
+
+    def __init__(self, candidates: dict[str, str]) -> None:
+        self.keys = set(candidates)
+        parts = [(int(n), int(i), first, last) for n, i, first, last in (x.split("\x1f") for x in candidates.values())]
+        self.at: dict[int, set[int]] = defaultdict(set)
+        for n, i, _, _ in parts:
+            self.at[n].add(i)
+        self.longest = max(self.at, default=0)
+        self.both = {(first, last) for _, _, first, last in parts}
+        self.lasts = tuple({last for _, _, _, last in parts if last})
+        self.open = any(not last for _, _, _, last in parts)
+
+    def fillers(self, line: str) -> Iterator[tuple[str, str, int, list[str]]]:
+        """(template, filler, place of the word, tokens) of every word of a line that stands in a candidate template."""
+        line = line.strip(" ")
+        # most lines end, begin or are as long as no template
+        if not line or not (self.open or line.endswith(self.lasts)) or len(line.split(None, self.longest)) > self.longest:
+            return
+        tokens = TOKEN.findall(line)
+        first, last, n = tokens[0], tokens[-1], len(tokens)
+        if n in self.at and ((first, last) in self.both or ("", last) in self.both or (first, "") in self.both or ("", "") in self.both):
+            for i in self.at[n]:
+                if (first if i else "", last if i + 1 < n else "") in self.both:
+                    for key, filler in fillings(tokens, i):
+                        if key in self.keys:
+                            yield key, filler, i, tokens
+
+
+def later_scan(texts: DataFrame, folding: Folding, old: Known, new: Known, candidates: dict[str, str]) -> DataFrame:
+    """The changes to the name windows where texts have a new name, and the fillers of the candidate templates (key to shape) in all lines."""
 
     def count(shared: tuple, text: str, total: Counter, words: Counter) -> None:
-        folding, old, new, added, keys, longest = shared
+        folding, old, new, was, now, added, automaton, shapes = shared
         low = lowered(folded(folding, text))
-        if added and added.search(low):
+        if automaton and automaton.search(low):
             tokens = TOKEN.findall(low)
-            if places(tokens, added.names):
-                windows(tokens, new, places(tokens, new.names()), total)
-                windows(tokens, old, places(tokens, old.names()), total, -1)
-        for line in low.split("\n") if keys else ():
-            # a line has as many tokens as blank-separated pieces at least
-            if len(line.split(None, longest)) <= longest and len(tokens := TOKEN.findall(line)) <= longest:
-                for i in range(len(tokens)):
-                    for key, filler in fillings(tokens, i):
-                        if key in keys:
-                            total["fill", filler, key, "", ""] += 1
+            # A window reaches two tokens to either side, so only those near a new name can have changed.
+            if near := {j for i in places(tokens, added) for j in range(i - 2, i + 3)}:
+                windows(tokens, new, [i for i in places(tokens, now) if i in near], total)
+                windows(tokens, old, [i for i in places(tokens, was) if i in near], total, -1)
+        for line in low.split("\n") if shapes else ():
+            for key, filler, _, _ in shapes.fillers(line):
+                total["fill", filler, key, "", ""] += 1
 
     added = new.names() - old.names()
-    return counted(texts, (folding, old, new, Words(added) if added else None, candidates, max(candidates.values(), default=0)), count)
+    shared = (folding, old, new, Names(old.names()), Names(new.names()), Names(added), Words(added) if added else None, Shapes(candidates) if candidates else None)
+    return counted(texts, shared, count)
 
 
 class Words:
@@ -341,7 +400,16 @@ class Words:
         self._start()
 
     def search(self, text: str) -> bool:
-        return next(self._automaton.iter(text), None) is not None
+        """Whether one stands in the text as a word, or behind prefix letters."""
+        for a, b in self.found(text):
+            if not text[b : b + 1].isalpha():
+                k = a
+                while k and a - k < 2 and text[k - 1] in PREFIXES:
+                    k -= 1
+                # with one prefix letter less the word may begin as well
+                if any(not text[max(0, j - 1) : j].isalpha() for j in range(k, a + 1)):
+                    return True
+        return False
 
     def found(self, text: str) -> Iterator[tuple[int, int]]:
         """(start, end) of every occurrence of every word."""
@@ -395,8 +463,8 @@ def learn(spark: SparkSession, documents: DataFrame, names: DataFrame, classes:
     known.phone_labels = {r.word for r in bounded(labels.where((F.col("phone") >= LABEL_SURE) & (F.col("phones") >= PARTNERS)).select("word"))}
     known.no_id_labels = {r.word for r in bounded(labels.where((F.col("nine") >= LABEL_SEEN) & (F.col("ids") <= LABEL_CHANCE * F.col("nine"))).select("word"))}
     # Lines are told apart by what at least two seed names fill; how else they are filled is counted in the next scan.
-    lines = found.where("kind = 'line'").groupBy("partner").agg(F.count_distinct("word").alias("k"), F.max(F.col("l").cast("int")).alias("length")).where("k >= 2")
-    candidates = {r.partner: r.length for r in bounded(lines.select("partner", "length"))}
+    lines = found.where("kind = 'line'").groupBy("partner").agg(F.count_distinct("word").alias("k"), F.max("l").alias("shape")).where("k >= 2")
+    candidates = {r.partner: r.shape for r in bounded(lines.select("partner", "shape"))}
     fills, passing, changes = None, [], []
     while True:
         before = spark.createDataFrame([(w,) for w in sorted(known.names())], "word string")
@@ -420,7 +488,7 @@ def learn(spark: SparkSession, documents: DataFrame, names: DataFrame, classes:
     if fills is not None:
         given = spark.createDataFrame([(w, 1) for w in sorted(known.given)], "word string, known int")
         by_template = fills.join(given, "word", "left").groupBy("partner").agg(F.count_distinct(F.when(F.col("known") == 1, F.col("word"))).alias("k"), (F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("part"))
-        known.templates = {r.partner for r in bounded(by_template.where((F.col("k") >= PARTNERS) & (F.col("part") >= 0.3)).select("partner"))}
+        known.templates = {r.partner: candidates[r.partner] for r in bounded(by_template.where((F.col("k") >= PARTNERS) & (F.col("part") >= 0.3)).select("partner"))}
     release(found, *passing, *changes)
     return known, folding
 
@@ -439,6 +507,8 @@ class Finder:
 
     def __init__(self, known: Known) -> None:
         self.known, self.all = known, known.names()
+        self.names_ = Names(self.all)
+        self.shapes_ = Shapes(known.templates) if known.templates else None
         self.bare = Words(known.streets) if known.streets and known.towns else None
         self.word = re.compile(r"[^\W\d_]+")
 
@@ -510,26 +580,29 @@ class Finder:
     def names(self, text: str, low: str) -> Iterator[tuple[str, int, int]]:
         given, family = self.known.given, self.known.family
         # The document's words that are names; only lines that have one of them are looked at word by word.
-        hits = {w for w in set(self.word.findall(low)) if (w in self.all or w[1:] in self.all or w[2:] in self.all) and anchored(w, self.all)}
+        hits = self.names_.among(set(self.word.findall(low)))
         if not hits:
             return
-        families = {w for w in hits if anchored(w, family)}
-        base = 0
-        for line in low.split("\n"):
+        lines: dict[int, bool] = {}
+        for w in hits:
+            of_family, at = anchored(w, family), low.find(w)
+            while at >= 0:
+                base = low.rfind("\n", 0, at) + 1
+                lines[base] = lines.get(base, False) or of_family
+                end = low.find("\n", at)
+                at = low.find(w, end) if end >= 0 else -1
+        for base, of_family in sorted(lines.items()):
+            end = low.find("\n", base)
+            line = low[base:] if end < 0 else low[base:end]
             # But for the lone names of whole lines every name has a family name in it.
-            if any(w in line for w in families):
+            if of_family:
                 spans = [(m.group(), base + m.start(), base + m.end()) for m in self.word.finditer(line)]
                 yield from self.in_line(low, text, spans, given, family)
-            if self.known.templates and any(w in line for w in hits):
-                tokens = [(m.group(), base + m.start()) for m in TOKEN.finditer(line)]
-                names = [i for i, (t, _) in enumerate(tokens) if t in hits]
-                if len(names) == 1:
-                    t, at = tokens[names[0]]
-                    for key, filler in fillings([t for t, _ in tokens], names[0]):
-                        if filler in given and key in self.known.templates:
-                            yield "name", at + len(t) - len(filler), at + len(t)
-                            break
-            base += len(line) + 1
+            for _, filler, i, tokens in self.shapes_.fillers(line) if self.shapes_ else ():
+                if filler in given and sum(t in hits for t in tokens) == 1:
+                    end = base + [m.end() for m in TOKEN.finditer(line)][i]
+                    yield "name", end - len(filler), end
+                    break
 
     def in_line(self, low: str, text: str, spans: list, given: set[str], family: set[str]) -> Iterator[tuple[str, int, int]]:
         n, done = len(spans), -1

@@ -5,9 +5,14 @@ from inkloom.llm import pii
 GIVEN, FAMILY = ["דנה", "יואב", "שיר", "Dalia", "נועה"], ["כרמפומרי", "זלטזודה", "ורנטשטרון", "Tolomberg", "קנדשטרון"]
 
 
+def template(around):
+    tokens = around.split()
+    return pii.template(around), pii.shape(tokens, next(i for i, t in enumerate(tokens) if t.endswith("_")))
+
+
 @pytest.fixture(scope="module")
 def finder(classes):
-    known = pii.Known(given={x.lower() for x in GIVEN}, family={x.lower() for x in FAMILY}, templates={pii.template(t) for t in ("_", "dear _ ,", "ל_ שלום ,", "חתום : _")}, streets={"הזית", "נחל הקנים"}, towns={"תל אשכול"})
+    known = pii.Known(given={x.lower() for x in GIVEN}, family={x.lower() for x in FAMILY}, templates=dict(map(template, ("_", "dear _ ,", "ל_ שלום ,", "חתום : _"))), streets={"הזית", "נחל הקנים"}, towns={"תל אשכול"})
     return pii.Finder(known), pii.Folding(classes)
 
 
