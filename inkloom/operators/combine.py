@@ -16,17 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def band(a: str, b: str) -> tuple[list[list[int]], int]:
-    """The edit distances of all beginnings of two texts next to the diagonal, and how far from it they reach.
+def band(a: str, b: str, head: int) -> tuple[list[list[int]], int]:
+    """The edit distances of the beginnings of two texts next to the diagonal, from the row ``head`` on, and how far from it they reach.
 
-    Cells further away than the distance are on no shortest path; the band is doubled until it is as wide as the distance.
+    The first ``head`` characters are equal, so up to there a distance is the difference of lengths. Cells further away than
+    the distance are on no shortest path; the band is doubled until it is as wide as the distance.
     """
     n, m = len(a), len(b)
     d = max(1, abs(n - m))
     while True:
         far = n + m + 1
-        rows = [[*range(min(m, d) + 1)]]
-        for i in range(1, n + 1):
+        rows = [[abs(head - j) for j in range(max(0, head - d), min(m, head + d) + 1)]]
+        for i in range(head + 1, n + 1):
             lo, hi = max(0, i - d), min(m, i + d)
             last, shift, x = rows[-1], max(0, i - 1 - d), a[i - 1]
             row = []
@@ -37,7 +38,7 @@ def band(a: str, b: str) -> tuple[list[list[int]], int]:
                 over = last[k - 1] + (x != b[j - 1]) if j and k else far
                 row.append(min(up, left, over))
             rows.append(row)
-        if rows[n][m - max(0, n - d)] <= d:
+        if rows[-1][m - max(0, n - d)] <= d:
             return rows, d
         d *= 2
 
@@ -52,11 +53,21 @@ def align(pivot: str, other: str) -> tuple[list[str], list[str]]:
     while tail < min(len(pivot), len(other)) and pivot[-1 - tail] == other[-1 - tail]:
         tail += 1
     n, m = len(pivot) - tail, len(other) - tail
+    if abs(n - m) < 2 and pivot[: min(n, m, max(n, m) - 1)] == other[: min(n, m, max(n, m) - 1)]:  # one character at most
+        at, inserts = list(pivot), [""] * (len(pivot) + 1)
+        if m > n:
+            inserts[n] = other[n]
+        elif n:
+            at[n - 1] = other[n - 1] if n == m else ""
+        return at, inserts
     at, inserts, i, j = [""] * n + list(pivot[n:]), [""] * (len(pivot) + 1), n, m
-    rows, d = band(pivot[:n], other[:m]) if n and m else ([], 0)
+    head = next((k for k in range(min(n, m)) if pivot[k] != other[k]), min(n, m))
+    rows, d = band(pivot[:n], other[:m], head) if n and m else ([], 0)
 
     def cost(i: int, j: int) -> int:
-        return rows[i][j - max(0, i - d)] if abs(i - j) <= d else n + m + 1
+        if i <= head:
+            return abs(i - j)
+        return rows[i - head][j - max(0, i - d)] if abs(i - j) <= d else n + m + 1
 
     while i and j:
         here = cost(i, j)
@@ -80,25 +91,37 @@ def vote(texts: list[str], weights: list[float] | None = None) -> str:
         raise ValueError("as many weights as texts are needed")
     if not texts or all(t == texts[0] for t in texts):
         return texts[0] if texts else ""
-    pivot = texts[0]
-    aligned = [(list(pivot), [""] * (len(pivot) + 1)), *(align(pivot, t) for t in texts[1:])]
-
-    half = math.fsum(weights) / 2
-
-    def heaviest(options: list[str]) -> tuple[float, str]:
+    pivot, half = texts[0], math.fsum(weights) / 2
+    # Only what differs from the pivot is kept of each text: by place, in the order of the texts.
+    other: dict[int, list[tuple[str, int]]] = {}
+    added: dict[int, list[tuple[str, int]]] = {}
+    for no, t in enumerate(texts):
+        if t != pivot:
+            at, inserts = align(pivot, t)
+            for k, (x, y) in enumerate(zip(at, pivot, strict=True)):
+                if x != y:
+                    other.setdefault(k, []).append((x, no))
+            for k, x in enumerate(inserts):
+                if x:
+                    added.setdefault(k, []).append((x, no))
+
+    def heaviest(options: list[tuple[str, int]]) -> tuple[float, str]:
         weight: dict[str, float] = {}
-        for o, w in zip(options, weights, strict=True):
-            weight[o] = weight.get(o, 0.0) + w
-        best = max(weight, key=weight.__getitem__)  # the first of equals, and the pivot's comes first
+        for o, no in options:
+            weight[o] = weight.get(o, 0.0) + weights[no]
+        best = max(weight, key=weight.__getitem__)  # the first of equals
         return weight[best], best
 
-    out = []
-    for k in range(len(pivot) + 1):
-        if any(a[1][k] for a in aligned):
-            weight, said = heaviest([a[1][k] for a in aligned])
-            out.append(said if weight > half else "")
-        if k < len(pivot):
-            out.append(heaviest([a[0][k] for a in aligned])[1])
+    out = [*pivot, ""]
+    for k, options in other.items():
+        weight, said = heaviest(options)
+        unlike = {no for _, no in options}
+        if weight > sum(w for no, w in enumerate(weights) if no not in unlike):  # the pivot's character wins a tie
+            out[k] = said
+    for k, options in added.items():
+        weight, said = heaviest(options)
+        if weight > half:
+            out[k] = said + out[k]
     return "".join(out)
 
 
